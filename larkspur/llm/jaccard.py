@@ -7,9 +7,10 @@ share; then two linked sets of n shingles meet in their first n - ceil(t * n) +
    is by level of the counter, then by the fingerprint. Any total order is right; this one keeps shared passages out of prefixes.
 2. Documents with equal sets are one class; classes with the same prefix and size are one group. One row for each prefix shingle of each group is
    exchanged by shingle and put in order of size: a shingle's list. Lists of a single group go.
-3. Neighbours in a list, and neighbours among the classes of a group, whose sizes allow a link are verified on their whole sets.
+3. Neighbours in a list, and neighbours among the classes of a group, are candidates where sizes, places in the prefix and parity
+   bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets.
    The links found join classes to components.
-4. Lists that still hold several components are expanded to classes; pairs from different components that pass the size and the position filter are
+4. Lists that still hold several components are expanded to classes; pairs from different components that pass the same filters are
    verified as well, and the components joined. A pair inside one component needs no check, as its members already reach each other, so a
    group of copies costs its size, not its square.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialize, small, text_key, without
-from larkspur.llm.shingles import shingles
+from larkspur.llm.shingles import all_shingles, least_difference, parity, shingles
 
 THRESHOLD = 80
 SKETCH_BITS = 22
@@ -55,7 +56,7 @@ def _sketch(batches: Batches) -> Batches:
     for batch in batches:
         found, held = [], 0
         for t in batch.column("text").to_pylist():
-            found.append(_places(shingles(t)))
+            found.append(_places(all_shingles(t)))
             held += len(found[-1])
             if held > 1_000_000:
                 counts += np.bincount(np.concatenate(found), minlength=len(counts)).astype(np.uint32)
@@ -102,22 +103,24 @@ def _class_id(x: np.ndarray) -> bytes:
 
 
 def _sign(batches: Batches, levels, threshold: int) -> Batches:
-    names = ["doc_id", "text_key", "n", "cls", "grp", "prefix"]
+    names = ["doc_id", "text_key", "n", "cls", "grp", "bits", "prefix"]
     for batch in batches:
-        n, cls, grp, prefix = [], [], [], []
+        n, cls, grp, bits, prefix = [], [], [], [], []
         for t in batch.column("text").to_pylist():
             x = shingles(t)
             n.append(len(x))
             if not len(x):
                 cls.append(None)
                 grp.append(None)
+                bits.append(None)
                 prefix.append(None)
                 continue
             first = x[np.lexsort((x, levels.value[_places(x)]))[: prefix_length(len(x), threshold)]].view(np.int64)
             cls.append(_class_id(x))
             grp.append(xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63))
+            bits.append(parity(x))
             prefix.append(first)
-        columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+        columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(grp, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -154,6 +157,26 @@ def _sizes_allow(n: str, m: str, threshold: int):
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
+def _rest_allows(n: str, pos: str, m: str, pos_m: str, threshold: int):
+    """From their places of a common shingle on, two sets must still be able to share enough, if it is their first."""
+    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(pos_m))
+    return (100 + threshold) * most >= threshold * (F.col(n) + F.col(m))
+
+
+def _promising(batches: Batches, threshold: int) -> Batches:
+    """The pairs whose bitmaps leave room for a link: the intersection is at most (n + m - difference) / 2."""
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+        most = [((n + m - least_difference(x, y)) // 2, n + m) for n, m, x, y in zip(*columns, strict=True)]
+        keep = pa.array([100 * k >= threshold * (both - k) for k, both in most], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
+def _promising_pairs(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    side = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _promising(b, threshold), "a long, b long"))
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that link, decided on whole sets."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "rep", "cls"), "v")
@@ -173,23 +196,25 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     read = docs.select("doc_id", text_key().alias("text_key"), "text")
     levels = sc.broadcast(rarity_levels(docs))
-    signed = read.mapInArrow(lambda b: _sign(b, levels, threshold), "doc_id long, text_key long, n int, cls binary, grp long, prefix array<long>")
+    signed = read.mapInArrow(lambda b: _sign(b, levels, threshold), "doc_id long, text_key long, n int, cls binary, grp long, bits binary, prefix array<long>")
     signed = materialize(signed)
     held = signed.where("n > 0")
-    classes = _numbered(held.groupBy("cls", "grp", "n").agg(F.min("doc_id").alias("rep")))
+    classes = _numbered(held.groupBy("cls", "grp", "n", "bits").agg(F.min("doc_id").alias("rep")))
     groups = classes.groupBy("grp", "n").agg(F.min("v").alias("v"))
 
     # lists: one row for each prefix shingle of each group
     rows = held.select("grp", "n", "prefix").dropDuplicates(["grp", "n"]).select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     by_size = Window.partitionBy("token").orderBy("n", "grp")
-    lists = rows.select("*", F.lag("grp").over(by_size).alias("grp_before"), F.lag("n").over(by_size).alias("n_before"), F.lead("grp").over(by_size).alias("grp_after"))
+    before = [F.lag(c).over(by_size).alias(f"{c}_before") for c in ("grp", "n", "pos")]
+    lists = rows.select("*", *before, F.lead("grp").over(by_size).alias("grp_after"))
     lists = materialize(lists.where("grp_before is not null or grp_after is not null").drop("grp_after"))
 
-    chain = lists.where(_sizes_allow("n_before", "n", threshold)).select("grp", "n", "grp_before", "n_before").distinct()
+    near = _sizes_allow("n_before", "n", threshold) & _rest_allows("n_before", "pos_before", "n", "pos", threshold)
+    chain = lists.where(near).select("grp", "n", "grp_before", "n_before").distinct()
     chain = chain.join(groups.select("grp", "n", F.col("v").alias("a")), ["grp", "n"]).join(groups.select(F.col("grp").alias("grp_before"), F.col("n").alias("n_before"), F.col("v").alias("b")), ["grp_before", "n_before"])
     in_group = Window.partitionBy("grp", "n").orderBy("v")
     inner = classes.select("v", F.lag("v").over(in_group).alias("b")).where("b is not null")
-    first = materialize(chain.select("a", "b").union(inner.select(F.col("v").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = _promising_pairs(classes, chain.select("a", "b").union(inner.select(F.col("v").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), threshold)
     links = _verify(docs, classes, first, threshold)
     roots = components(links)
 
@@ -200,11 +225,8 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     left = members.join(mixed, "token")
     x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pos", "n", "v", "root")])
     y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pos", "n", "v", "root")])
-    # from these places on, the two sets must still be able to share enough
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    enough = (100 + threshold) * most >= threshold * (F.col("n_a") + F.col("n_b"))
-    pairs = x.join(y, "token").where((F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_allow("n_a", "n_b", threshold) & enough)
-    second = materialize(pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    pairs = x.join(y, "token").where((F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_allow("n_a", "n_b", threshold) & _rest_allows("n_a", "pos_a", "n_b", "pos_b", threshold))
+    second = _promising_pairs(classes, pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), threshold)
     more = _verify(docs, classes, second, threshold)
     if more.limit(1).count():
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))

@@ -78,9 +78,30 @@ def _chain(words: np.ndarray, size: int, salt: int) -> np.ndarray:
     return x
 
 
-def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
-    """The sorted distinct shingles; of fewer words the whole sequence; of none an empty array."""
+def all_shingles(text: str | None, size: int = SIZE) -> np.ndarray:
+    """The shingles in order; of fewer words the whole sequence; of none an empty array."""
     words = word_hashes(text.encode()) if text else np.empty(0, np.uint64)
     if len(words) == 0:
         return words
-    return np.unique(_chain(words, size, 0) if len(words) >= size else _chain(words, len(words), len(words)))
+    return _chain(words, size, 0) if len(words) >= size else _chain(words, len(words), len(words))
+
+
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
+    """The distinct shingles, sorted."""
+    return np.unique(all_shingles(text, size))
+
+
+def parity(x: np.ndarray) -> bytes:
+    """A bitmap with one to two bits for each of the distinct shingles: a bit tells whether an odd number of them falls on it."""
+    width = max(64, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, from their bitmaps; the wider one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
