@@ -7,7 +7,7 @@ share; then two linked sets of n shingles meet in their first n - ceil(t * n) +
    is by level of the counter, then by the fingerprint. Any total order is right; this one keeps shared passages out of prefixes.
 2. Documents with equal sets are one class; classes with the same prefix and size are one group. One row for each prefix shingle of each group is
    exchanged by shingle and put in order of size: a shingle's list. Lists of a single group go.
-3. Neighbours in a list, and neighbours among the classes of a group, are candidates where sizes, places in the prefix and parity
+3. Neighbours in a list, each group and its list's centre, and neighbours among the classes of a group, are candidates where sizes, places in the prefix and parity
    bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets.
    The links found join classes to components.
 4. Lists that still hold several components are expanded to classes; pairs from different components that pass the same filters are
@@ -212,6 +212,14 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     near = _sizes_allow("n_before", "n", threshold) & _rest_allows("n_before", "pos_before", "n", "pos", threshold)
     chain = lists.where(near).select("grp", "n", "grp_before", "n_before").distinct()
     chain = chain.join(groups.select("grp", "n", F.col("v").alias("a")), ["grp", "n"]).join(groups.select(F.col("grp").alias("grp_before"), F.col("n").alias("n_before"), F.col("v").alias("b")), ["grp_before", "n_before"])
+    # a list's centre is the group that stands in most lists: the original of a group of near copies shares the most with each
+    each = lists.groupBy("grp", "n").agg(F.count("*").alias("degree"))
+    ranked = lists.select("token", "pos", "grp", "n").join(each, ["grp", "n"])
+    centre = ranked.groupBy("token").agg(F.max(F.struct("degree", "n", "grp", "pos")).alias("c"))
+    star = ranked.join(centre, "token").select("grp", "n", "pos", F.col("c.grp").alias("grp_before"), F.col("c.n").alias("n_before"), F.col("c.pos").alias("pos_before"))
+    star = star.where((F.col("grp") != F.col("grp_before")) & near).select("grp", "n", "grp_before", "n_before").distinct()
+    star = star.join(groups.select("grp", "n", F.col("v").alias("a")), ["grp", "n"]).join(groups.select(F.col("grp").alias("grp_before"), F.col("n").alias("n_before"), F.col("v").alias("b")), ["grp_before", "n_before"])
+    chain = chain.select("a", "b").union(star.select("a", "b"))
     in_group = Window.partitionBy("grp", "n").orderBy("v")
     inner = classes.select("v", F.lag("v").over(in_group).alias("b")).where("b is not null")
     first = _promising_pairs(classes, chain.select("a", "b").union(inner.select(F.col("v").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), threshold)
