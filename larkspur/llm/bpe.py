@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 LEAF = 512
 FIRST_WINDOW = 4
 #: Words that a worker keeps beyond those of the group of texts at hand.
-MEMORY = 300_000
+MEMORY = 150_000
 OUT = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
@@ -157,7 +158,7 @@ def codec(path: str) -> Codec:
 
 
 #: Texts are handed to the codec in groups of about so many characters.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 
 def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -169,26 +170,36 @@ def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
         if size > GROUP:
             yield group
             group, size = [], 0
-    yield group
+    if group:
+        yield group
+
+
+def _encoded(c: Codec, group: list[str | None], full: bool) -> dict[str, pa.Array]:
+    n, ids, decoded, tokens = [], [], [], []
+    for words in c.batch(group):
+        held = [w for w in words if w[2]]
+        joined = " ".join([w[0] for w in held])
+        n.append(sum([w[2] for w in held]))
+        ids.append(hashlib.sha256(joined.encode()).hexdigest())
+        decoded.append(hashlib.sha256(" ".join([w[1] for w in held]).encode()).hexdigest())
+        if full:
+            tokens.append(np.fromstring(joined, np.int32, sep=" "))
+    cols = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+    if full:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+        cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))
+    return cols
 
 
 def _batches(batches: Iterator[pa.RecordBatch], keep: list[str], path: str, full: bool) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for batch in batches:
-        n, ids, decoded, tokens = [], [], [], []
+        at = 0
         for group in groups(batch.column("text").to_pylist()):
-            for words in c.batch(group):
-                held = [w for w in words if w[2]]
-                joined = " ".join([w[0] for w in held])
-                n.append(sum([w[2] for w in held]))
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([w[1] for w in held]).encode()).hexdigest())
-                if full:
-                    tokens.append([int(i) for i in joined.split(" ")] if joined else [])
-        cols = {k: batch.column(k) for k in keep} | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-        if full:
-            cols["ids"] = pa.array(tokens, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            rows = batch.slice(at, len(group))
+            cols = {k: rows.column(k) for k in keep} | _encoded(c, group, full)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            at += len(group)
 
 
 def encode_documents(docs: DataFrame, keep: list[str], path: str, full: bool = False) -> DataFrame:

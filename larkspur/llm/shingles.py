@@ -50,7 +50,7 @@ def _piece_hashes(raw: bytes) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = _powers(max(21, len(data).bit_length()))
+    up, down = _powers(max(17, len(data).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)])])
     hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[0])
     for i in np.flatnonzero(ends - starts > LONG):
