@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 LEAF = 512
 FIRST_WINDOW = 4
 #: Words that a worker keeps beyond those of the group of texts at hand.
-MEMORY = 150_000
+MEMORY = 100_000
 OUT = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
@@ -59,6 +59,7 @@ class Codec:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.last = self.library.model
         self.inner = models.BPE(vocab=self.vocab, merges=merges)
+        del self.spec["model"]
         self.special = [t["content"] for t in self.spec["added_tokens"]]
         self.names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         steps = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
@@ -200,6 +201,9 @@ def _batches(batches: Iterator[pa.RecordBatch], keep: list[str], path: str, full
             cols = {k: rows.column(k) for k in keep} | _encoded(c, group, full)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
             at += len(group)
+    # workers live on for other operators' tasks; the words would stay in their memory
+    c.known, c.pieces = {}, {}
+    pa.default_memory_pool().release_unused()
 
 
 def encode_documents(docs: DataFrame, keep: list[str], path: str, full: bool = False) -> DataFrame:
