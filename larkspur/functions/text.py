@@ -15,6 +15,8 @@ PAGE_NUMBER = r"(?i)^\s*(\d+\s*/\s*\d+|\d+|Page\s+\d+(\s+of\s+\d+)?)\s*$"
 CAPTION = r"^(Table|Figure|Fig\.)\s*\d+\s*[:.]?\s+[A-Z]"
 FRAGMENT = r"^[\[\(]?\d+[\]\)]?[.:]?$"
 SECTION = r"^(\d+(\.\d+){0,3}\.?)\s+[A-Z]|^([IVXLC]+)\.\s+[A-Z]|^([A-Z])\.\s+[A-Z]|^§\s*\d|^(?i:Abstract|References|Acknowledg(?:e)?ments?|Conclusions?)\s*$"
+NUMBER_ONLY = r"^(\d+(?:\.\d+)*\.?|[IVXLC]+\.?)$"
+TIDY = [(r"\(\s+", "("), (r"\s+\)", ")"), (r"(?<!/)\s+\(", "("), (r"\s*=\s*", " = "), (r"\s+", " ")]
 NUMBER_PREFIX = r"^(\d+(?:\.\d+)*\.?|[IVXLC]+\.|[A-Z]\.|§\s*\d+(?:\.\d+)*)\s*"
 MATH_FONT = r"(?i)math|cmmi|cmsy|cmex|cmbsy|msam|msbm|stix|asana|lm[a-z]{2}\d|xits"
 CID = r"\(cid:\d+\)"
@@ -60,7 +62,7 @@ def band_key(c: Column) -> Column:
 
 
 def tidy_formula(c: Column) -> Column:
-    for pattern, to in ((r"\(\s+", "("), (r"\s+\)", ")"), (r"\s*=\s*", " = "), (r"\s+", " ")):
+    for pattern, to in TIDY:
         c = F.regexp_replace(c, pattern, to)
     return F.trim(c)
 
@@ -88,6 +90,15 @@ def is_heading(c: Column) -> Column:
     return t.rlike(SECTION) & (F.length(t) <= 80) & ~t.rlike(r"^(19|20)\d\d\.") & ~body.rlike(r"[.!?;]\s+\S") & ~body.contains(",") & (F.size(F.split(t, r"\s+")) <= 9) & ~t.rlike("[,;]$")
 
 
+def is_number(c: Column) -> Column:
+    return c.rlike(NUMBER_ONLY)
+
+
+def looks_like_heading(c: Column, big: Column) -> Column:
+    """A heading by its words, or a short large line that no comma, semicolon or full stop ends."""
+    return is_heading(c) | (big & F.length(c).between(1, 80) & (F.size(F.split(F.trim(c), r"\s+")) <= 9) & ~c.rlike("[,;.]$"))
+
+
 def alnum_ratio(c: Column) -> Column:
     dense = F.length(F.regexp_replace(c, r"\s", ""))
     return F.when(dense > 0, F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")) / dense)

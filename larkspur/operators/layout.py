@@ -9,6 +9,7 @@ from larkspur.functions.text import band_key, is_page_number
 
 #: Fixed values.
 LINE_JUMP, MIN_GAP, DEFAULT_SIZE = 1.5, 7.0, 10.0
+PEAK, FEWEST_LINES, WIDTH_SHARE, NEAR, EDGE, MARGIN = 3, 8, 0.25, 6.0, 4.0, 3.0
 
 
 def body_font_size(spans: DataFrame) -> DataFrame:
@@ -35,6 +36,25 @@ def column_histogram(lines: DataFrame, width: float = 2.0) -> DataFrame:
     return lines.groupBy("doc", "page", (F.bround(F.col("x0") / width) * width).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def column_split(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, page and split: where the right of two columns begins, or null for a page of one column. pages: doc, page, width. Columns
+    start at bins with PEAK lines or more, the right one over a quarter of the width to the right; both have PEAK lines within NEAR."""
+    hist = column_histogram(lines).groupBy("doc", "page").agg(F.sum("n").alias("lines"), F.collect_list(F.struct("bin", "n")).alias("bins"))
+    peaks = F.transform(F.filter("bins", lambda b: b["n"] >= PEAK), lambda b: b["bin"])
+    df = hist.join(pages, ["doc", "page"]).select("doc", "page", "lines", "bins", "width", peaks.alias("peaks"), F.array_min(peaks).alias("first"))
+    df = df.select("*", F.array_min(F.filter("peaks", lambda p: p - F.col("first") > WIDTH_SHARE * F.col("width"))).alias("second"))
+    near = lambda c: F.aggregate(F.filter("bins", lambda b: F.abs(b["bin"] - F.col(c)) <= NEAR), F.lit(0).cast("long"), lambda a, b: a + b["n"])
+    both = (F.col("lines") >= FEWEST_LINES) & (near("first") >= PEAK) & (near("second") >= PEAK)
+    return df.select("doc", "page", F.when(both, F.col("second") - EDGE).alias("split"))
+
+
+def sides(lines: DataFrame, split: DataFrame) -> DataFrame:
+    """Lines with is_full and is_left, as reading_order wants them; on a page of one column all are full."""
+    met = lines.join(split, ["doc", "page"], "left")
+    left, right = F.col("x1") <= F.col("split") + MARGIN, F.col("x0") >= F.col("split") - MARGIN
+    return met.select(*lines.columns, F.coalesce(~(left | right), F.lit(True)).alias("is_full"), F.coalesce(left, F.lit(False)).alias("is_left"))
+
+
 def line_groups(words: DataFrame) -> DataFrame:
     """Words in order of (y0, x0); a jump of more than LINE_JUMP from the word before starts a new line."""
     w = Window.partitionBy("doc", "page").orderBy("y0", "x0", "ord")

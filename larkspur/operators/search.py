@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import tokens
+from larkspur.functions.text import page_range, plain_tokens, tokens
 
 #: Fixed values.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -77,3 +77,33 @@ def fuse(first: DataFrame, second: DataFrame, key: str, k: int = CANDIDATES) ->
 def rerank(hits: DataFrame, scorer: Callable[[Column], Column] | None, text: str = "text") -> DataFrame:
     """The seam for a cross-encoder; without one the order stays."""
     return hits if scorer is None else hits.select("*", scorer(F.col(text)).alias("rerank_score")).orderBy(F.desc("rerank_score"))
+
+
+def raw_bm25(chunks: DataFrame, query: str) -> DataFrame:
+    """The plain arm: tokens are runs of letters and digits and count as often as they stand there; no scope. chunk_id, score."""
+    terms = chunks.select("chunk_id", plain_tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+    sizes = chunks.agg(F.count("*").alias("n"), F.avg(F.size(plain_tokens(F.col("text")))).alias("avgdl"))
+    counts = terms.groupBy("token").agg(F.count("*").alias("df"))
+    stats = counts.crossJoin(F.broadcast(sizes)).select("token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    floor = stats.agg((EPSILON * F.avg("idf")).alias("floor"))
+    wanted = chunks.sparkSession.createDataFrame([(query,)], "text string").select(F.explode(plain_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+    known = stats.join(F.broadcast(wanted), "token").crossJoin(F.broadcast(floor)).select("token", "avgdl", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("idf"))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return terms.join(F.broadcast(known), "token").groupBy("chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
+
+
+def context(hits: DataFrame, mark: str = "S") -> DataFrame:
+    """One row, `context`: the hits (rank from 0, tier, doc, page_start, page_end, section, text) as numbered blocks. Hits are a top-k."""
+    origin = F.when(F.col("tier") == 0, "TIER-0, the survey's own paraphrase").otherwise("TIER-1, original paper")
+    section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("(no section heading)"))
+    head = F.concat(F.lit(f"[{mark}"), (F.col("rank") + 1).cast("string"), F.lit("] ("), origin, F.lit(") "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(", section: "), section)
+    parts = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws("\n", head, "text").alias("part"))))
+    return hits.agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("context"))
+
+
+def acceptance(chunks: DataFrame, query: str, doc: str, k: int = 8) -> DataFrame:
+    """One row: whether a filter on a document confines the hits to it and finds any, and whether tier 0 goes when left out."""
+    hits = lambda scope: top(bm25(chunks, query, scope), k, "chunk_id").join(chunks.select("chunk_id", "doc", "tier"), "chunk_id")
+    own = hits(in_scope(doc_ids=[doc])).agg(F.coalesce(F.every(F.col("doc") == doc), F.lit(True)).alias("confined"), (F.count("*") > 0).alias("found"))
+    gone = hits(in_scope(exclude_tiers=[0])).agg((F.count_if(F.col("tier") == 0) == 0).alias("tier_gone"))
+    return own.crossJoin(F.broadcast(gone)).select("*", (F.col("confined") & F.col("found") & F.col("tier_gone")).alias("passed"))

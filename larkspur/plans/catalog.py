@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import units as U
-from larkspur.operators import audit, chunking, evalkit, layout, rules, search
+from larkspur.operators import audit, blocks, chunking, evalkit, geometry, layout, rules, search, vision
 from larkspur.operators import tables as tabs
 from larkspur.plans import adapters as A
 from larkspur.sources import registry as R
@@ -417,6 +417,99 @@ def bibliography_parse(spark, sf):
     return d.select("doc_id", F.explode(R.bibliography(t)).alias("n", "entry"))
 
 
+# --- pages rebuilt from positions -------------------------------------------------------------------------------
+@query()
+def line_blocks(spark, sf):
+    """Lines with made-up sizes: every seventh large, every eleventh a number on its own, every thirteenth a caption."""
+    o = F.col("ord")
+    text = F.when(o % 11 == 3, (o % 9 + 1).cast("string")).when(o % 13 == 5, F.concat(F.lit("Table "), o.cast("string"), F.lit(": Of "), "text")).otherwise(F.col("text"))
+    lines = A.blocks(spark, sf).select("doc", "page", "ord", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 10).alias("y1"), F.when((o % 7 == 0) | (o % 11 == 3), 14.0).otherwise(10.0).alias("size"), F.lit(10.0).alias("body_size"), text.alias("text"))
+    return blocks.line_blocks(lines)
+
+
+@query(f"""WITH h AS (SELECT doc, page, CAST(round_even(x0 / 2, 0) * 2 AS DOUBLE) AS bin, count(*) AS n FROM ({A.BLOCKS_SQL}) GROUP BY ALL),
+  a AS (SELECT doc, page, sum(n) AS lines, min(bin) FILTER (n >= 3) AS l FROM h GROUP BY ALL), r AS (SELECT doc, page, min(bin) AS r FROM h JOIN a USING (doc, page) WHERE n >= 3 AND bin - l > 0.25 * 612 GROUP BY ALL),
+  c AS (SELECT doc, page, any_value(lines) AS lines, any_value(r) AS r, sum(CASE WHEN abs(bin - l) <= 6 THEN n ELSE 0 END) AS nl, sum(CASE WHEN abs(bin - r) <= 6 THEN n ELSE 0 END) AS nr FROM h JOIN a USING (doc, page) LEFT JOIN r USING (doc, page) GROUP BY ALL)
+  SELECT doc, page, CASE WHEN lines >= 8 AND nl >= 3 AND nr >= 3 THEN r - 4 END AS split FROM c""")
+def column_split(spark, sf):
+    pages = A.table(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(612.0).alias("width"))
+    return layout.column_split(A.blocks(spark, sf), pages)
+
+
+@query("SELECT table_id, row, col, CASE col WHEN 0 THEN 'P' || p_partkey WHEN 1 THEN p_type ELSE CAST(p_size AS VARCHAR) END AS text FROM (SELECT p_brand AS table_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS row, p_partkey, p_type, p_size FROM part), (SELECT CAST(unnest(range(3)) AS INTEGER) AS col)")
+def table_rebuild(spark, sf):
+    """Parts as words at places, one table for each brand, and back."""
+    p = A.table(spark, sf, "part").select(F.col("p_brand").alias("table_id"), "p_partkey", "p_type", "p_size", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("at"))
+    cells = F.array(F.struct(F.lit(10.0).alias("x0"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("text")), F.struct(F.lit(200.0).alias("x0"), F.col("p_type").alias("text")), F.struct(F.lit(400.0).alias("x0"), F.col("p_size").cast("string").alias("text")))
+    words = p.select(F.lit("parts").alias("doc"), F.conv(F.substring("table_id", 7, 9), 10, 10).cast("long").alias("page"), (F.col("at") * 12.0).alias("y0"), F.explode(cells).alias("c")).select("doc", "page", "c.x0", "y0", (F.col("c.x0") + 4 * F.length("c.text")).alias("x1"), (F.col("y0") + 10).alias("y1"), "c.text")
+    tables = p.groupBy("table_id").agg(F.max(F.col("at") * 12.0 + 10).alias("y1")).select(F.lit("parts").alias("doc"), F.conv(F.substring("table_id", 7, 9), 10, 10).cast("long").alias("page"), "table_id", F.lit(8.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(600.0).alias("x1"), "y1", F.lit(612.0).alias("width"), (F.col("y1") + 50).alias("height"))
+    rows = geometry.reconstruct_tables(words, tables).select("table_id", F.posexplode("rows").alias("row", "cells"))
+    return rows.select("table_id", "row", F.posexplode("cells").alias("col", "text"))
+
+
+@query("SELECT s_suppkey AS page, CASE s_suppkey % 3 WHEN 0 THEN 'a / (b_' || s_nationkey || ')' WHEN 1 THEN 'a = b_' || s_nationkey END AS text FROM supplier WHERE s_suppkey % 3 < 2")
+def formula_rebuild(spark, sf):
+    """a over b_n with a bar, a = b_n without, or two lone letters, which are no formula."""
+    k = F.col("s_suppkey")
+    span = lambda o, x, y, text, size=10.0: F.struct(F.lit(o).alias("ord"), F.lit(x).alias("x0"), y.alias("y0"), F.lit(x + 6.0).alias("x1"), (y + size).alias("y1"), F.lit(size).alias("size"), text.alias("text"))
+    low = F.when(k % 3 == 0, 115.0).otherwise(100.0)
+    spans = F.array(span(0, 10.0, F.lit(100.0), F.lit(chr(0x1D44E))), span(1, 20.0, F.lit(100.0), F.when(k % 3 == 1, "=").otherwise("")), span(2, 30.0, low, F.lit("b")), span(3, 36.0, low + 7, F.col("s_nationkey").cast("string"), 6.0))
+    s = A.table(spark, sf, "supplier")
+    rows = s.select(F.lit("f").alias("doc"), k.cast("long").alias("page"), F.explode(F.filter(spans, lambda x: x["text"] != "")).alias("s")).select("doc", "page", "s.*")
+    bars = s.where(k % 3 == 0).select(F.lit("f").alias("doc"), k.cast("long").alias("page"), F.lit(0).alias("ord"), F.lit(8.0).alias("x0"), F.lit(112.0).alias("y0"), F.lit(45.0).alias("x1"), F.lit(113.0).alias("y1"))
+    return geometry.reconstruct_formulas(rows, bars).select("page", "text")
+
+
+@query("""SELECT doc, page, seen AS channel_ok, CASE WHEN NOT seen THEN 'channel_failed_needs_human' WHEN page % 2 = 0 THEN 'discrepancies_found' ELSE 'clean' END AS status,
+  CASE WHEN seen THEN CASE WHEN page % 2 = 1 THEN 'none' WHEN page % 4 = 0 THEN 'major' ELSE 'cannot_verify' END END AS max_severity, CASE WHEN seen AND page % 2 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN seen THEN 1 ELSE 0 END AS dropped
+  FROM (SELECT source AS doc, doc_id AS page, doc_id % 7 = doc_id % 5 AS seen FROM documents)""")
+def vision_normalize(spark, sf):
+    p = F.col("page")
+    same = F.struct(F.lit("x").alias("extracted"), F.lit(" x ").alias("image_shows"), F.lit("minor").alias("severity"))
+    other = F.struct(F.lit("x").alias("extracted"), F.lit("y").alias("image_shows"), F.when(p % 4 == 0, " Major").otherwise("grave").alias("severity"))
+    reply = F.to_json(F.struct(F.concat(F.lit(" t"), (p % 5).cast("string")).alias("image_token"), F.when(p % 2 == 0, F.array(same, other)).otherwise(F.array(same)).alias("discrepancies")))
+    replies = A.table(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page")).select("doc", "page", F.concat(F.lit("T"), (p % 7).cast("string")).alias("image_token"), reply.alias("reply"))
+    return vision.normalize_records(replies).select("doc", "page", "channel_ok", "status", "max_severity", F.size("discrepancies").alias("n"), F.col("self_agreeing_dropped").alias("dropped"))
+
+
+# --- other arms, contexts, metadata -----------------------------------------------------------------------------
+RAW = f"regexp_extract_all({LOW}, '[a-z0-9]+')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {RAW} AS toks FROM documents), z AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t), p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS token FROM t),
+  f AS (SELECT doc_id, dl, token, count(*) AS tf FROM p GROUP BY ALL), i AS (SELECT token, any_value(avgdl) AS avgdl, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f, z GROUP BY token), m AS (SELECT 0.25 * avg(idf) AS fl FROM i)
+  SELECT doc_id AS chunk_id, round(sum((CASE WHEN idf < 0 THEN fl ELSE idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM f JOIN i USING (token), m WHERE token IN ('the', 'thing', 'and', 'therein', 'of', '2', 'mb') GROUP BY doc_id""")
+def raw_bm25(spark, sf):
+    return search.raw_bm25(A.chunks(spark, sf), QUESTION)
+
+
+@query("SELECT true AS confined, true AS found, true AS tier_gone, true AS passed")
+def acceptance(spark, sf):
+    return search.acceptance(A.chunks(spark, sf), QUESTION, "src1")
+
+
+@query("""SELECT string_agg('[S' || (r_regionkey + 1) || '] (' || CASE WHEN r_regionkey = 0 THEN 'TIER-0, the survey''s own paraphrase' ELSE 'TIER-1, original paper' END || ') ' || r_name || ' p' || r_regionkey || CASE WHEN r_regionkey % 2 = 1 THEN '-' || (r_regionkey + 1) ELSE '' END
+  || ', section: ' || CASE WHEN r_regionkey = 2 THEN '(no section heading)' ELSE 's' END || chr(10) || r_name, chr(10) || chr(10) ORDER BY r_regionkey) AS context FROM region""")
+def context_blocks(spark, sf):
+    k = F.col("r_regionkey").cast("int")
+    hits = A.table(spark, sf, "region").select(k.alias("rank"), F.when(k == 0, 0).otherwise(1).alias("tier"), F.col("r_name").alias("doc"), k.alias("page_start"), (k + k % 2).alias("page_end"), F.when(k != 2, "s").alias("section"), F.col("r_name").alias("text"))
+    return search.context(hits)
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'OSDI' WHEN 1 THEN 'arXiv:2401.0' || (1000 + doc_id % 9000) END AS venue, CASE doc_id % 3 WHEN 0 THEN 2019 WHEN 1 THEN 2024 END AS year FROM (SELECT DISTINCT doc_id FROM documents)")
+def venue_year(spark, sf):
+    d = A.table(spark, sf, "documents").select("doc_id").distinct()
+    k = F.col("doc_id")
+    front = F.when(k % 3 == 0, "In OSDI 2019, after 2018").when(k % 3 == 1, F.concat(F.lit("arXiv: 2401.0"), (F.lit(1000) + k % 9000).cast("string"), F.lit(" of 2022"))).otherwise("none")
+    return d.select("doc_id", R.venue(front).alias("venue"), R.year(front, front).alias("year"))
+
+
+@query()
+def draft_passages(spark, sf):
+    return chunking.split_passages(A.table(spark, sf, "documents"), "doc_id")
+
+
 def queries():
     return dict(QUERIES)
 
