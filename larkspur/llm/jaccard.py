@@ -10,8 +10,9 @@ share; then two linked sets of n shingles meet in their first n - ceil(t * n) +
 3. Neighbours in a list, each group and its list's centre, and neighbours among the classes of a group, are candidates where sizes, places in the prefix and parity
    bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets.
    The links found join classes to components.
-4. Lists that still hold several components are expanded to classes; pairs from different components that pass the same filters are
-   verified as well, and the components joined. A pair inside one component needs no check, as its members already reach each other, so a
+4. Lists that still hold several components are expanded to classes; pairs of different groups and different components that pass the same
+   filters are verified as well, and so are the pairs inside each group that still holds several components, whether or not a list of it
+   is left; then the components are joined. A pair inside one component needs no check, as its members already reach each other, so a
    group of copies costs its size, not its square.
 
 Every link between different texts thus either is found or runs inside a component, and components are exact.
@@ -227,13 +228,19 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     roots = components(links)
 
     # what the neighbours left open
-    members = lists.select("token", "pos", "grp", "n").join(classes.select("grp", "n", "v"), ["grp", "n"]).join(roots, "v", "left")
-    members = materialize(members.select("token", "pos", "n", "v", F.coalesce("root", "v").alias("root")))
+    rooted = materialize(classes.join(roots, "v", "left").select("grp", "n", "v", F.coalesce("root", "v").alias("root")))
+    members = materialize(lists.select("token", "pos", "grp", "n").join(rooted, ["grp", "n"]).select("token", "pos", "grp", "n", "v", "root"))
     mixed = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     left = members.join(mixed, "token")
-    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pos", "n", "v", "root")])
-    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pos", "n", "v", "root")])
-    pairs = x.join(y, "token").where((F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_allow("n_a", "n_b", threshold) & _rest_allows("n_a", "pos_a", "n_b", "pos_b", threshold))
+    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pos", "grp", "n", "v", "root")])
+    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pos", "grp", "n", "v", "root")])
+    apart = (F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = x.join(y, "token").where(apart & ((F.col("grp_a") != F.col("grp_b")) | (F.col("n_a") != F.col("n_b"))) & _sizes_allow("n_a", "n_b", threshold) & _rest_allows("n_a", "pos_a", "n_b", "pos_b", threshold))
+    # inside a group all places agree and no list is needed; different sets too small to share all but one shingle never link
+    several = rooted.where(100 * (F.col("n") - 1) >= threshold * (F.col("n") + 1)).groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp", "n")
+    left = rooted.join(several, ["grp", "n"])
+    same = left.select("grp", "n", F.col("v").alias("v_a"), F.col("root").alias("root_a")).join(left.select("grp", "n", F.col("v").alias("v_b"), F.col("root").alias("root_b")), ["grp", "n"]).where(apart)
+    pairs = pairs.select("v_a", "v_b").union(same.select("v_a", "v_b"))
     second = _promising_pairs(classes, pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), threshold)
     more = _verify(docs, classes, second, threshold)
     if more.limit(1).count():

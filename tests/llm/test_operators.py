@@ -209,6 +209,19 @@ def test_jaccard(spark, docs, none):
     assert left[LONG] == 1 and left[NEAR] == 0 and left["one two"] == 1 and left[None] == 2
 
 
+def test_jaccard_inside_group(spark):
+    """Texts of nine shingles that differ in their last words only: most share their prefix, and no other text shares it."""
+    texts = []
+    for seed in range(60):
+        w = [f"s{seed}w{i}" for i in range(13)]
+        texts += [" ".join(w), " ".join([*w[:11], "x", "y"]), " ".join([*w[:12], "z"])]
+    for order in (1, -1):
+        rows_ = list(enumerate(texts[::order]))
+        ids, sizes = brute.components(rows_)
+        found = jaccard.link_components(spark.createDataFrame(rows_, "doc_id long, text string"))
+        assert rows(found, "doc_id", "n_shingles", "component_id") == sorted([(d, n, c) for (d, _), n, c in zip(rows_, sizes, ids)], key=repr)
+
+
 def test_shingles():
     for t in ["", "a", "a b c d", "A b c d e", "x" * 200 + " y z", prose(500)]:
         assert len(shingles.shingles(t)) == len(brute.shingle_set(t))
