@@ -41,3 +41,25 @@ def test_registry_file(spark, tmp_path):
     path = registry.discover(str(tmp_path))
     found = {tuple(r) for r in registry.problems(registry.load(spark, path)).collect()}
     assert found == {("duplicate_ref", "1"), ("missing_title", "b")}
+
+
+def test_bibliography_marks(spark):
+    texts = [
+        ("1. body\nReferences\n[1] One cross references in two\n[2] Two", {1: "One cross references in two", 2: "Two"}),
+        ("9. body\nBibliography\n1) One", {1: "One"}),
+        ("9. body\n參考文獻\n1. One", {1: "One"}),
+        ("9. body\nREFERENCES\n3. Three\nBibliography\n4. Four", {3: "Three Bibliography", 4: "Four"}),
+        ("References\n1. One\nBibliography\n2. Two\nReferences\n5. Five", {5: "Five"}),
+        ("no mark\n7. Seven", {7: "Seven"}),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(registry.bibliography(F.col("t"))).collect()] == [m for _, m in texts]
+
+
+def test_bibliography_by_position(spark):
+    by_year = "[MTM] J. Ren,  a long enough title of a paper, 2024"
+    by_venue = "L. Xiang, another long enough title, in proceedings of it"
+    text = f"Body of 2019, a line of more than forty characters\nReferences of 2020, a line of more than forty characters\n{by_year}\nShort, 2021\nA line of more than forty characters without either\n{by_venue}\n{'x' * 700} arXiv"
+    rows = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "i int, t string")
+    found = [r[0] for r in rows.orderBy("i").select(registry.bibliography(F.col("t"))).collect()]
+    assert found == [{1: by_year.replace("  ", " "), 2: by_venue, 3: "x" * 600}, {}, None]
