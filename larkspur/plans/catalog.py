@@ -413,8 +413,13 @@ def short_id_resolve(spark, sf):
 @query()
 def bibliography_parse(spark, sf):
     d = A.table(spark, sf, "documents")
-    t = F.concat(F.lit("x References\n[1] "), F.substring("text", 1, 90), F.lit("\n2. "), F.substring("text", 91, 90))
-    return d.select("doc_id", F.explode(R.bibliography(t)).alias("n", "entry"))
+    # the whole text: each line in pieces of an entry's most characters, at most 999 entries to a bibliography, as numbers have three digits
+    of_line = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - 1, F.lit(0)), F.lit(600)), lambda i: F.substr(x, i + 1, F.lit(600)))
+    pieces = d.select("doc_id", F.filter(F.flatten(F.transform(F.split("text", "\n"), of_line)), lambda x: x.rlike(r"\S")).alias("pieces")).where("size(pieces) > 0")
+    parts = pieces.select("doc_id", "pieces", F.explode(F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(999))).alias("first"))
+    numbered = F.transform(F.slice("pieces", F.col("first") + 1, 999), lambda x, i: F.concat(F.when(i % 2 == 0, F.concat(F.lit("["), i + 1, F.lit("] "))).otherwise(F.concat(i + 1, F.lit(". "))), x))
+    t = F.concat(F.lit("x References\n"), F.array_join(numbered, "\n"))
+    return parts.select("doc_id", "first", F.explode(R.bibliography(t)).alias("k", "entry")).select("doc_id", (F.col("first") + F.col("k")).alias("n"), "entry")
 
 
 # --- pages rebuilt from positions -------------------------------------------------------------------------------

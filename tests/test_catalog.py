@@ -16,6 +16,18 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_bibliography_whole(spark, tmp_path):
+    """All characters but white space come back in order, of long lines and of more lines than numbers with three digits, too."""
+    own = spark.createDataFrame([(1, "x" * 1500 + " end\n\nlast"), (2, "\n".join(f"line {i}" for i in range(2100))), (3, " \n"), (4, None)], "doc_id long, text string")
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (str(tmp_path), SF):
+        found = {}
+        for r in sorted(catalog.queries()["bibliography_parse"](spark, folder).collect()):
+            found[r["doc_id"]] = found.get(r["doc_id"], "") + "".join(r["entry"].split())
+        texts = {r["doc_id"]: "".join((r["text"] or "").split()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        assert found == {k: t for k, t in texts.items() if t}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
