@@ -74,3 +74,11 @@ def test_registry(spark):
     assert one(spark, R.bibliography(F.col("t")), t="a References\n[1] First entry\n2. Second\n[1] Again") == {1: "Again", 2: "Second"}
     assert R.slug("Ünïcode Title!") == "unicode_title"
     assert R.title_score("Memory Tiering", "[3] Memory tiering, OSDI") > 0.45 > R.title_score("Memory Tiering", "Other words")
+
+
+def test_chunks_split(spark):
+    long = " ".join(f"Sentence {i} has some words in it." for i in range(90))
+    blocks = spark.createDataFrame([("d", 1, 0, "short", "a"), ("d", 1, 1, long, "b"), ("d", 2, 2, "y" * 3000, "c")], "doc string, page int, ord int, text string, section string")
+    found = [(r["chunk"], r["part"], r["text"]) for r in chunking.pack_chunks(blocks).orderBy("chunk", "part").collect()]
+    cut = ["y" * 1400, "y" * 1400, "y" * 200]
+    assert found == [(0, None, "short"), *((1, i, x) for i, x in enumerate(brute_pack(long))), *((2, i, x) for i, x in enumerate(cut))]
