@@ -2,8 +2,8 @@
 
 A text is cut at its ASCII white space, across which this vocabulary never merges; each distinct word is encoded once in a
 worker's bounded memory of words. A word without white space that is longer than LEAF characters, "long unsplit text", is
-encoded as a tree: its pieces (after the tokenizer's own normalizer and pre-tokenizer) are halved down to leaves, leaves are encoded in
-one batch, and neighbours are concatenated. At a join, the last k tokens of the left and the first k of the right are encoded anew as one
+encoded as a tree: its pieces (after the tokenizer's own normalizer and pre-tokenizer) are cut into leaves, leaves are encoded one
+after another, and neighbours are concatenated. At a join, the last k tokens of the left and the first k of the right are encoded anew as one
 window; if the window begins with the left side's token and ends with the right side's, both sides agree and the
 join is exact, else k doubles. (A sequence of BPE tokens is the encoding of its text if and only if every two neighbours are the encoding of
 theirs; the window keeps its outer tokens, so all neighbours are.) The last leaf carries the end-of-word mark.
