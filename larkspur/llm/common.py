@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,14 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A table in fewer splits than this and than the cores is dealt out anew, so that small files keep all cores busy.
+FEWEST_SPLITS = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    least = min(spark.sparkContext.defaultParallelism, FEWEST_SPLITS)
+    return rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows
 
 
 def ascii_lower(c: Column) -> Column:
@@ -26,12 +34,23 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only in local mode, where driver and executors are one process, a
+    temporary folder may stand in for it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "larkspur-checkpoints")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names in
-    spark.checkpoint.dir; only where that is unset (tests, a laptop) a folder is made here."""
+    """Cuts the lineage with a reliable checkpoint in the shared folder. Spark removes a checkpoint that is no longer in use
+    where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "larkspur-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -57,21 +76,55 @@ def words_of(text: str) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE_CLASS}]+"))
 
 
-def text_key() -> Column:
-    """With doc_id, tells rows apart: rows that agree in both have the same text (but for a hash collision)."""
-    return F.xxhash64(whole_text())
+def text_key(*more: str) -> Column:
+    """With doc_id, tells rows apart: rows that agree in both have the same text (but for a hash collision). `more` names further columns
+    that a decision rests on."""
+    return F.xxhash64(whole_text(), *[F.col(c) for c in more])
+
+
+# --- bitmaps over hashes ----------------------------------------------------------------------------------------------
+def bitmap(hashes: DataFrame, bits: int) -> Column:
+    """A constant array of longs with a bit for each hash (the only column of `hashes`, longs); at most `bits` numbers go to the driver."""
+    longs = [0] * (bits // 64)
+    for (b,) in hashes.select(F.pmod(hashes[hashes.columns[0]], F.lit(bits)).cast("int")).distinct().collect():
+        longs[b // 64] |= 1 << (b % 64)
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in longs]
+    return F.from_json(F.lit(json.dumps(signed)), "array<bigint>")
 
 
-#: A side of at most so many rows of a few fixed-size columns is broadcast; beyond it a shuffle join runs.
+def listed(marks: Column, bits: int, h: Column) -> Column:
+    """Whether the bit of a hash is set: false proves that the hash is none of those that the bitmap was made of."""
+    at = F.pmod(h, F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return F.get(marks, F.shiftright(at, 6).cast("int")).bitwiseAND(one) != 0
+
+
+#: A side of at most so many rows of two longs (16 bytes each) is broadcast.
 BROADCAST_ROWS = 500_000
+#: Bits of the map that keeps rows out of a shuffle beyond that: 512 kB, whatever the number of keys.
+KEY_BITS = 1 << 22
+
+
+def _key(*columns) -> Column:
+    return F.xxhash64(*columns)
+
 
+def without(docs: DataFrame, keys: DataFrame, *more: str) -> DataFrame:
+    """docs but for the rows whose (doc_id, text_key(*more)) stands in keys (materialized, columns k_id and k_text).
 
-def small(df: DataFrame) -> DataFrame:
-    """Marks a materialized side for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    Up to BROADCAST_ROWS keys are broadcast. Beyond that, rows whose key misses a bitmap of the keys stay where they are, and only the others are
+    shuffled to meet the keys; so what moves is what is likely to go."""
+    on = docs["doc_id"].eqNullSafe(keys["k_id"]) & (text_key(*more) == keys["k_text"])
+    if keys.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(keys), on, "left_anti")
+    hit = listed(bitmap(keys.select(_key("k_id", "k_text")), KEY_BITS), KEY_BITS, _key("doc_id", text_key(*more)))
+    return docs.where(~hit).unionByName(docs.where(hit).join(keys, on, "left_anti"))
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs but for the rows whose (doc_id, text_key) stands in keys (materialized, columns k_id and k_text)."""
-    on = docs["doc_id"].eqNullSafe(keys["k_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["k_text"])
-    return docs.join(small(keys), on, "left_anti")
+def among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, text_key) stands in keys; the others are kept out of any shuffle as in `without`."""
+    on = docs["doc_id"].eqNullSafe(keys["k_id"]) & (text_key() == keys["k_text"])
+    if keys.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(keys), on, "left_semi")
+    hit = listed(bitmap(keys.select(_key("k_id", "k_text")), KEY_BITS), KEY_BITS, _key("doc_id", text_key()))
+    return docs.where(hit).join(keys, on, "left_semi")

@@ -1,30 +1,35 @@
 """N-gram Jaccard join by grouped prefixes: exact, on sets of distinct 5-word shingles.
 
 Two documents link when 100 * |intersection| >= THRESHOLD * |union|. Order every set by a rarity order that all documents
-share; then two linked sets of n shingles meet in their first n - ceil(t * n) + 1, their prefixes.
+share; then two linked sets meet in their prefixes: the larger one's is its first n - ceil(t * n) + 1 shingles, the smaller one's, which
+is all that needs to be looked up, its first n - ceil(2t / (1 + t) * n) + 1.
 
 1. Rarity: a table of 2**SKETCH_BITS counters over the shingles of all documents (hashed), of fixed size, summed over all tasks. The order
    is by level of the counter, then by the fingerprint. Any total order is right; this one keeps shared passages out of prefixes.
-2. Documents with equal sets are one class; classes with the same prefix and size are one group. One row for each prefix shingle of each group is
-   exchanged by shingle and put in order of size: a shingle's list. Lists of a single group go.
-3. Neighbours in a list, each group and its list's centre, and neighbours among the classes of a group, are candidates where sizes, places in the prefix and parity
-   bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets.
-   The links found join classes to components.
-4. Lists that still hold several components are expanded to classes; pairs of different groups and different components that pass the same
-   filters are verified as well, and so are the pairs inside each group that still holds several components, whether or not a list of it
-   is left; then the components are joined. A pair inside one component needs no check, as its members already reach each other, so a
-   group of copies costs its size, not its square.
+2. Documents with equal sets are one class; classes with the same prefix and size are one group. The lists, one row for each prefix shingle
+   of each group, are sorted by shingle and size over range partitions, so that a shingle that many groups hold is cut between tasks. Rows
+   without a neighbour of the same shingle go.
+3. First pass: neighbours in a list, each group and its list's centre, and neighbours among the classes of a group, are candidates where sizes, places in
+   the prefix and parity bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets. The
+   links found join classes to components.
+4. Second pass: pairs of groups that still hold several components meet in each shingle that the smaller one's short prefix and the larger one's prefix
+   share, if sizes and places allow a link; they are expanded to members of different components, filtered by their bitmaps, and verified. A
+   pair inside one component needs no check, as its members already reach each other, so a group of copies costs its size, not its square.
+5. Groups that still hold several components themselves: their members have the prefix in common, so two that link also share one of the next
+   n - ceil(2t / (1 + t) * n) + 1 shingles in order. These are the keys by which their members meet, and again only members of different components
+   whose places allow a link become pairs.
 
 Every link between different texts thus either is found or runs inside a component, and components are exact.
-Texts are read three or four times and never shuffled; sets are only built for classes in pairs. Components come
-from alternating large-star and small-star steps, each cut by a checkpoint.
+Texts are read three to five times and never shuffled: where the sets of some documents are needed, a bitmap of fixed size over their ids tells which texts
+to cut, and sets that it lets through for nothing fall in the join by class. Components come from alternating large-star and small-star
+steps, each cut by a checkpoint.
 
 Fingerprints have 64 bits: for two sets of a thousand shingles the chance that a collision adds to their intersection is
 below 10**-13. Classes are told apart by 128 bits.
 
 Edge cases: null texts and texts without words have no set, n_shingles 0, and are components of their own. Repeated rows and equal sets share a component. A
-null id never is a component's id unless all its documents' ids are null. An empty table gives an empty one. Other columns are ignored by the
-join and pass through the filter.
+null id never is a component's id unless all its documents' ids are null. An empty table gives an empty one. Very long texts are cut in pieces;
+their sets take 8 bytes for each word. Other columns are ignored by the join and pass through the filter.
 """
 
 from __future__ import annotations
@@ -35,15 +40,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize, small, text_key, without
+from larkspur.llm.common import among, materialize, spread, text_key, without
 from larkspur.llm.shingles import all_shingles, least_difference, parity, shingles
 
 THRESHOLD = 80
 SKETCH_BITS = 22
 SLICES = 64
+#: Bits of the map that tells which documents' sets are needed: 8 MB.
+MARK_BITS = 1 << 26
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -88,7 +95,7 @@ def rarity_levels(docs: DataFrame) -> np.ndarray:
     kind = "slice int, counts binary"
     summed = docs.select("text").mapInArrow(_sketch, kind).repartition(SLICES, "slice").mapInArrow(_sum_slices, kind)
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # SLICES rows, of 32 MB at most before compression
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     counts = counts.reshape(-1)
     return np.minimum(counts // np.uint64(4 + 2 * int(counts.mean())), 255).astype(np.uint8)
@@ -99,6 +106,16 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
+def least_common(n: int, threshold: int = THRESHOLD) -> int:
+    """What two linked sets of n shingles have in common at least."""
+    return -(-2 * threshold * n // (100 + threshold))
+
+
+def index_length(n: int, threshold: int = THRESHOLD) -> int:
+    """Of the smaller of two linked sets one of so many shingles, in order, stands in the larger one's prefix."""
+    return n - least_common(n, threshold) + 1
+
+
 def _class_id(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x.tobytes())
 
@@ -116,7 +133,7 @@ def _sign(batches: Batches, levels, threshold: int) -> Batches:
                 bits.append(None)
                 prefix.append(None)
                 continue
-            first = x[np.lexsort((x, levels.value[_places(x)]))[: prefix_length(len(x), threshold)]].view(np.int64)
+            first = _ordered(x, levels.value)[: prefix_length(len(x), threshold)].view(np.int64)
             cls.append(_class_id(x))
             grp.append(xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63))
             bits.append(parity(x))
@@ -125,11 +142,94 @@ def _sign(batches: Batches, levels, threshold: int) -> Batches:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _sets(batches: Batches) -> Batches:
+def _ordered(x: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return x[np.lexsort((x, levels[_places(x)]))]
+
+
+def _wanted(batches: Batches, marks: np.ndarray) -> Iterator[np.ndarray]:
+    """The sets of the texts whose document's bit is set."""
+    for batch in batches:
+        at = np.asarray(batch.column("place")).astype(np.int64)
+        keep = (marks[at >> 3] >> (at & 7)) & 1
+        for t in batch.column("text").filter(pa.array(keep.astype(bool))).to_pylist():
+            x = shingles(t)
+            if len(x):
+                yield x
+
+
+def _in_groups(rows: Iterator[tuple[bytes, np.ndarray]], name: str) -> Batches:
+    """(cls, array) rows as batches of about a million elements."""
+    ids: list[bytes] = []
+    arrays: list[np.ndarray] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(arrays, pa.list_(pa.int64()))], names=["cls", name])
+
+    for cls, x in rows:
+        ids.append(cls)
+        arrays.append(x.view(np.int64))
+        size += len(x)
+        if size > 1_000_000:
+            yield out()
+            ids, arrays, size = [], [], 0
+    if ids:
+        yield out()
+
+
+def _sets(batches: Batches, marks) -> Batches:
+    return _in_groups(((_class_id(x), x) for x in _wanted(batches, marks.value)), "elements")
+
+
+def _next_shingles(batches: Batches, marks, levels, threshold: int) -> Batches:
+    """The shingles that follow on the prefix, as many as two linked sets with equal prefixes need to meet again."""
+
+    def rows() -> Iterator[tuple[bytes, np.ndarray]]:
+        for x in _wanted(batches, marks.value):
+            at = prefix_length(len(x), threshold)
+            yield _class_id(x), _ordered(x, levels.value)[at : at + index_length(len(x), threshold)]
+
+    return _in_groups(rows(), "tokens")
+
+
+def _mark_bits(batches: Batches) -> Batches:
+    marks = np.zeros(MARK_BITS // 8, np.uint8)
     for batch in batches:
-        found = [shingles(t) for t in batch.column("text").to_pylist()]
-        found = [x for x in found if len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array([_class_id(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["cls", "elements"])
+        at = np.asarray(batch.column("place")).astype(np.int64)
+        np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    if marks.any():
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(marks, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "marks"])
+
+
+def _unite_slices(batches: Batches) -> Batches:
+    united: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column("slice").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(raw), np.uint8)
+            united[i] = united[i] | x if i in united else x
+    if united:
+        yield pa.RecordBatch.from_arrays([pa.array(list(united), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in united.values()], pa.binary())], names=["slice", "marks"])
+
+
+def _place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MARK_BITS over the ids in column `rep`, united over all tasks; an id that was given has its bit, whatever their number."""
+    kind = "slice int, marks binary"
+    parts = ids.select(_place(F.col("rep")).alias("place")).mapInArrow(_mark_bits, kind).repartition(SLICES, "slice").mapInArrow(_unite_slices, kind)
+    marks = np.zeros((SLICES, MARK_BITS // 8 // SLICES), np.uint8)
+    for r in parts.collect():  # SLICES rows, of 8 MB at most before compression
+        marks[r["slice"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+    return marks.reshape(-1)
+
+
+def _read(docs: DataFrame, ids: DataFrame, work, kind: str) -> DataFrame:
+    """What `work` makes of the texts whose ids stand in `ids`; a few other texts may be among them."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+    return docs.select(_place(F.col("doc_id")).alias("place"), "text").mapInArrow(lambda b: work(b, marks), kind)
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -155,13 +255,68 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------------------------
 def _sizes_allow(n: str, m: str, threshold: int):
     """A link needs the smaller size to be at least threshold percent of the larger."""
-    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+    return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * threshold
 
 
 def _rest_allows(n: str, pos: str, m: str, pos_m: str, threshold: int):
     """From their places of a common shingle on, two sets must still be able to share enough, if it is their first."""
-    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(pos_m))
-    return (100 + threshold) * most >= threshold * (F.col(n) + F.col(m))
+    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(pos_m)).cast("long")
+    return most * (100 + threshold) >= (F.col(n).cast("long") + F.col(m)) * threshold
+
+
+def _least_common(n: str, threshold: int) -> Column:
+    return F.expr(f"({2 * threshold}L * {n} + {99 + threshold}) div {100 + threshold}")
+
+
+ROW = ["token", "n", "g", "pos"]
+
+
+def _in_company(batches: Batches) -> Batches:
+    """Of rows in order of (token, n, g) those that have a neighbour of the same token, each with the one before. The first and the last row of a task
+    may have theirs in another task and stay."""
+    kept: list[np.ndarray] | None = None  # the last two rows, or the only one
+    sent = 0  # how many of these were judged already
+
+    def judged(rows: list[np.ndarray], start: int, end: int, last: bool) -> pa.RecordBatch:
+        token = rows[0]
+        same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+        edge = np.zeros(len(token), bool)
+        edge[0] = start == 0
+        edge[-1] = edge[-1] or last
+        at = np.flatnonzero((same[:-1] | same[1:] | edge)[start:end]) + start
+        alone = ~same[:-1][at]
+        before = [pa.array(c[at - 1], mask=alone) for c in rows[1:]]
+        return pa.RecordBatch.from_arrays([*[pa.array(c[at]) for c in rows], *before], names=[*ROW, *[f"{c}_before" for c in ROW[1:]]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fresh = [np.asarray(batch.column(c)) for c in ROW]
+        rows = fresh if kept is None else [np.concatenate(x) for x in zip(kept, fresh, strict=True)]
+        yield judged(rows, sent, len(rows[0]) - 1, False)
+        kept = [c[-2:] for c in rows]
+        sent = len(kept[0]) - 1
+    if kept is not None:
+        yield judged(kept, sent, len(kept[0]), True)
+
+
+def _to_centre(batches: Batches) -> Batches:
+    """Of rows in order of (token, degree from high to low) the pairs of each with the first one of its token in the task, the centre."""
+    centre: list | None = None
+    names = [*ROW, *[f"{c}_before" for c in ROW[1:]]]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.asarray(batch.column(c)) for c in ROW]
+        token = rows[0]
+        heads = np.flatnonzero(np.concatenate([[centre is None or centre[0] != token[0]], token[1:] != token[:-1]]))
+        run = np.searchsorted(heads, np.arange(len(token)), side="right") - 1
+        firsts = [c[heads] for c in rows]
+        if centre is not None:  # the first rows may go on with the list before
+            firsts = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(centre, firsts, strict=True)]
+            run = run + 1
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in rows], *[pa.array(c[run]) for c in firsts[1:]]], names=names)
+        centre = [c[-1] for c in firsts]
 
 
 def _promising(batches: Batches, threshold: int) -> Batches:
@@ -173,6 +328,10 @@ def _promising(batches: Batches, threshold: int) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
 def _promising_pairs(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _promising(b, threshold), "a long, b long"))
@@ -180,16 +339,64 @@ def _promising_pairs(classes: DataFrame, pairs: DataFrame, threshold: int) -> Da
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that link, decided on whole sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "rep", "cls"), "v")
-    needed = materialize(needed)
-    reps = small(needed.select(F.col("rep").alias("k_id")).distinct())
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["k_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "cls binary, elements array<long>").join(needed, "cls").select("v", "elements")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "rep", "cls"), "v"))
+    sets = _read(docs, needed, _sets, "cls binary, elements array<long>").join(needed, "cls").select("v", "elements")
+    sets = materialize(sets.dropDuplicates(["v"]))  # repeated ids give a set twice
     a = sets.select(F.col("v").alias("a"), F.col("elements").alias("x"))
     b = sets.select(F.col("v").alias("b"), F.col("elements").alias("y"))
     met = pairs.select("a", "b").join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return materialize(met.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+    return materialize(met.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def _lists(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, n, g, pos) for each prefix shingle of each group g, which is known by its least class, with the row before of the same token."""
+    groups = classes.groupBy("grp", "n").agg(F.min("v").alias("g"))
+    prefixes = held.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
+    rows = groups.join(prefixes, ["grp", "n"]).select("n", "g", F.posexplode("prefix").alias("pos", "token")).select(*ROW)
+    kind = "token long, n int, g long, pos int, n_before int, g_before long, pos_before int"
+    return materialize(rows.repartitionByRange(spread(held), "token", "n", "g").sortWithinPartitions("token", "n", "g").mapInArrow(_in_company, kind))
+
+
+def _first_pairs(lists: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    near = _sizes_allow("n_before", "n", threshold) & _rest_allows("n_before", "pos_before", "n", "pos", threshold)
+    chain = lists.where(near).select(F.col("g").alias("a"), F.col("g_before").alias("b"))
+    # a list's centre is the group that stands in most lists: the original of a group of near copies shares the most with each
+    degrees = lists.groupBy("g").agg(F.count("*").alias("degree"))
+    ranked = lists.select(*ROW).join(degrees, "g").repartitionByRange(spread(lists), "token", F.desc("degree"), "g").sortWithinPartitions("token", F.desc("degree"), "g")
+    star = ranked.select(*ROW).mapInArrow(_to_centre, "token long, n int, g long, pos int, n_before int, g_before long, pos_before int")
+    star = star.where((F.col("g") != F.col("g_before")) & near).select(F.col("g").alias("a"), F.col("g_before").alias("b"))
+    in_group = Window.partitionBy("grp", "n").orderBy("v")
+    inner = classes.select(F.col("v").alias("a"), F.lag("v").over(in_group).alias("b")).where("b is not null")
+    return _ranked(chain.union(star).union(inner), "a", "b")
+
+
+def _group_pairs(lists: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of groups (g_a, g_b) that may hold a link between different components. groups: g with the least and the greatest root."""
+    spanned = lists.select(*ROW).join(groups, "g")
+    mixed = spanned.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+    left = materialize(spanned.join(mixed, "token"))
+    x = left.where(F.col("pos") <= F.col("n") - _least_common("n", threshold)).select("token", *[F.col(c).alias(f"{c}_a") for c in ("n", "g", "pos", "low", "high")])
+    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("n", "g", "pos", "low", "high")])
+    in_order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("g_a") < F.col("g_b")))
+    apart = (F.col("low_a") != F.col("high_a")) | (F.col("low_b") != F.col("high_b")) | (F.col("low_a") != F.col("low_b"))
+    fits = _sizes_allow("n_a", "n_b", threshold) & _rest_allows("n_a", "pos_a", "n_b", "pos_b", threshold)
+    return x.join(y, "token").where(in_order & apart & fits).select("g_a", "g_b").distinct()
+
+
+def _inside_pairs(docs: DataFrame, classes: DataFrame, rooted: DataFrame, groups: DataFrame, levels, threshold: int) -> DataFrame | None:
+    """Pairs of classes of one group in different components. Two different sets of n shingles share n - 1 at most."""
+    several = groups.where("low <> high").select("g")
+    open_ = rooted.where((F.col("n").cast("long") - 1) * 100 >= (F.col("n").cast("long") + 1) * threshold).join(several, "g").join(classes.select("v", "cls", "rep"), "v")
+    open_ = materialize(open_.select("g", "n", "v", "root", "cls", "rep"))
+    if not open_.limit(1).count():
+        return None
+    tokens = _read(docs, open_, lambda b, marks: _next_shingles(b, marks, levels, threshold), "cls binary, tokens array<long>").dropDuplicates(["cls"])
+    rows = open_.join(tokens, "cls").select("g", "n", "v", "root", F.posexplode("tokens").alias("pos", "token"))
+    side = lambda c: rows.select("g", "token", "n", *[F.col(x).alias(f"{x}_{c}") for x in ("v", "root", "pos")])
+    met = side("a").join(side("b").drop("n"), ["g", "token"]).where("v_a < v_b and root_a <> root_b")
+    fits = F.col("n") - F.greatest("pos_a", "pos_b") >= _least_common("n", threshold)  # all of the prefix is common, and what is left from here on
+    return met.where(fits).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -201,75 +408,44 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signed = materialize(signed)
     held = signed.where("n > 0")
     classes = _numbered(held.groupBy("cls", "grp", "n", "bits").agg(F.min("doc_id").alias("rep")))
-    groups = classes.groupBy("grp", "n").agg(F.min("v").alias("v"))
-
-    # lists: one row for each prefix shingle of each group
-    rows = held.select("grp", "n", "prefix").dropDuplicates(["grp", "n"]).select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_size = Window.partitionBy("token").orderBy("n", "grp")
-    before = [F.lag(c).over(by_size).alias(f"{c}_before") for c in ("grp", "n", "pos")]
-    lists = rows.select("*", *before, F.lead("grp").over(by_size).alias("grp_after"))
-    lists = materialize(lists.where("grp_before is not null or grp_after is not null").drop("grp_after"))
+    lists = _lists(held, classes)
 
-    near = _sizes_allow("n_before", "n", threshold) & _rest_allows("n_before", "pos_before", "n", "pos", threshold)
-    chain = lists.where(near).select("grp", "n", "grp_before", "n_before").distinct()
-    chain = chain.join(groups.select("grp", "n", F.col("v").alias("a")), ["grp", "n"]).join(groups.select(F.col("grp").alias("grp_before"), F.col("n").alias("n_before"), F.col("v").alias("b")), ["grp_before", "n_before"])
-    # a list's centre is the group that stands in most lists: the original of a group of near copies shares the most with each
-    each = lists.groupBy("grp", "n").agg(F.count("*").alias("degree"))
-    ranked = lists.select("token", "pos", "grp", "n").join(each, ["grp", "n"])
-    centre = ranked.groupBy("token").agg(F.max(F.struct("degree", "n", "grp", "pos")).alias("c"))
-    star = ranked.join(centre, "token").select("grp", "n", "pos", F.col("c.grp").alias("grp_before"), F.col("c.n").alias("n_before"), F.col("c.pos").alias("pos_before"))
-    star = star.where((F.col("grp") != F.col("grp_before")) & near).select("grp", "n", "grp_before", "n_before").distinct()
-    star = star.join(groups.select("grp", "n", F.col("v").alias("a")), ["grp", "n"]).join(groups.select(F.col("grp").alias("grp_before"), F.col("n").alias("n_before"), F.col("v").alias("b")), ["grp_before", "n_before"])
-    chain = chain.select("a", "b").union(star.select("a", "b"))
-    in_group = Window.partitionBy("grp", "n").orderBy("v")
-    inner = classes.select("v", F.lag("v").over(in_group).alias("b")).where("b is not null")
-    first = _promising_pairs(classes, chain.select("a", "b").union(inner.select(F.col("v").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), threshold)
-    links = _verify(docs, classes, first, threshold)
-    roots = components(links)
+    first = _promising_pairs(classes, _first_pairs(lists, classes, threshold), threshold)
+    roots = components(_verify(docs, classes, first, threshold))
 
     # what the neighbours left open
-    rooted = materialize(classes.join(roots, "v", "left").select("grp", "n", "v", F.coalesce("root", "v").alias("root")))
-    members = materialize(lists.select("token", "pos", "grp", "n").join(rooted, ["grp", "n"]).select("token", "pos", "grp", "n", "v", "root"))
-    mixed = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = members.join(mixed, "token")
-    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("pos", "grp", "n", "v", "root")])
-    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("pos", "grp", "n", "v", "root")])
-    apart = (F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b"))
-    pairs = x.join(y, "token").where(apart & ((F.col("grp_a") != F.col("grp_b")) | (F.col("n_a") != F.col("n_b"))) & _sizes_allow("n_a", "n_b", threshold) & _rest_allows("n_a", "pos_a", "n_b", "pos_b", threshold))
-    # inside a group all places agree and no list is needed; different sets too small to share all but one shingle never link
-    several = rooted.where(100 * (F.col("n") - 1) >= threshold * (F.col("n") + 1)).groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp", "n")
-    left = rooted.join(several, ["grp", "n"])
-    same = left.select("grp", "n", F.col("v").alias("v_a"), F.col("root").alias("root_a")).join(left.select("grp", "n", F.col("v").alias("v_b"), F.col("root").alias("root_b")), ["grp", "n"]).where(apart)
-    pairs = pairs.select("v_a", "v_b").union(same.select("v_a", "v_b"))
-    second = _promising_pairs(classes, pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), threshold)
-    more = _verify(docs, classes, second, threshold)
-    if more.limit(1).count():
-        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
-
-    rooted = classes.join(roots, "v", "left").select("cls", "rep", F.coalesce("root", "v").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(ids, "root").select("cls", "component_id")
+    named = classes.groupBy("grp", "n").agg(F.min("v").alias("g"))
+    rooted = materialize(classes.select("grp", "n", "v").join(named, ["grp", "n"]).join(roots, "v", "left").select("g", "n", "v", F.coalesce("root", "v").alias("root")))
+    groups = materialize(rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+    member = lambda c: rooted.select(F.col("g").alias(f"g_{c}"), F.col("v").alias(f"v_{c}"), F.col("root").alias(f"root_{c}"))
+    pairs = _group_pairs(lists, groups, threshold).join(member("a"), "g_a").join(member("b"), "g_b").where("root_a <> root_b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    inside = _inside_pairs(docs, classes, rooted, groups, levels, threshold)
+    pairs = _ranked(pairs if inside is None else pairs.union(inside), "a", "b").join(first, ["a", "b"], "left_anti")
+    second = _promising_pairs(classes, pairs, threshold)
+    if second.limit(1).count():
+        more = _verify(docs, classes, second, threshold)
+        if more.limit(1).count():
+            roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
+
+    rooted = classes.join(roots, "v", "left").select("cls", F.coalesce("root", "v").alias("root"))
+    named = rooted.join(classes.select(F.col("v").alias("root"), F.col("rep").alias("component_id")), "root").select("cls", "component_id")
     out = signed.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _numbered(classes: DataFrame) -> DataFrame:
-    """Gives each class a long v; another seed is taken should two classes ever get the same."""
-    seed = 0
-    while True:
-        out = materialize(classes.select("*", F.xxhash64("cls", F.lit(seed)).alias("v")))
-        if not out.groupBy("v").count().where("count > 1").limit(1).count():
-            return out
-        seed += 1
+    """Gives each class a long v that grows with its least id, nulls last, so that the least class of a component has its least id."""
+    in_order = classes.repartitionByRange(spread(classes), F.asc_nulls_last("rep"), "cls").sortWithinPartitions(F.asc_nulls_last("rep"), "cls")
+    return materialize(in_order.select("*", F.monotonically_increasing_id().alias("v")))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """Of each component the documents with the least id stay, and of repeated rows one; with their own columns."""
     found = materialize(link_components(docs))
-    leaves = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")).distinct()
+    key = [F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")]
+    leaves = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
     stay = without(docs, materialize(leaves))
-    repeated = materialize(found.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")))
+    repeated = materialize(found.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select(*key))
     if not repeated.limit(1).count():
         return stay
-    on = stay["doc_id"].eqNullSafe(repeated["k_id"]) & (F.xxhash64(F.coalesce(stay["text"], F.lit(""))) == repeated["k_text"])
-    return without(stay, repeated).unionByName(stay.join(small(repeated), on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return without(stay, repeated).unionByName(among(stay, repeated).dropDuplicates(["doc_id", "text"]))

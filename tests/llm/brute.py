@@ -39,7 +39,7 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def components(docs):
+def components(docs, threshold=80):
     """docs: list of (id, text) -> least id reachable, by place."""
     sets = [shingle_set(t) for _, t in docs]
     root = list(range(len(docs)))
@@ -52,7 +52,7 @@ def components(docs):
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * both >= threshold * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = collections.defaultdict(list)
     for i, (d, _) in enumerate(docs):

@@ -222,6 +222,45 @@ def test_jaccard_inside_group(spark):
         assert rows(found, "doc_id", "n_shingles", "component_id") == sorted([(d, n, c) for (d, _), n, c in zip(rows_, sizes, ids)], key=repr)
 
 
+def test_jaccard_near_the_threshold(spark):
+    """Families around one template: most pairs share almost 80 in 100, some lists are long, and few of their members link."""
+    rnd = random.Random(11)
+    texts = []
+    for family in range(6):
+        template = [f"f{family}w{i}" for i in range(50)]
+        texts += [" ".join([*template, *[f"u{family}x{k}y{j}" for j in range(rnd.randint(3, 9))]]) for k in range(25)]
+        for k in range(25):
+            w = list(template)
+            at = rnd.randrange(50)
+            w[at : at + rnd.randint(0, 3)] = [f"z{rnd.randrange(3)}"] * rnd.randint(0, 3)
+            texts.append(" ".join(w))
+    rnd.shuffle(texts)
+    rows_ = list(enumerate(texts))
+    for threshold in (80, 60):
+        ids, sizes = brute.components(rows_, threshold)
+        found = jaccard.link_components(spark.createDataFrame(rows_, "doc_id long, text string"), threshold)
+        assert rows(found, "doc_id", "n_shingles", "component_id") == sorted([(d, n, c) for (d, _), n, c in zip(rows_, sizes, ids)], key=repr)
+
+
+def test_jaccard_lists():
+    """Company and centres of sorted rows, however they are cut into batches."""
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        token = sorted(rnd.choice(range(12)) for _ in range(rnd.randint(1, 30)))
+        cols = [token, [rnd.randint(1, 9) for _ in token], list(range(len(token))), [rnd.randint(0, 5) for _ in token]]
+        whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int32()])], names=jaccard.ROW)
+        cuts = sorted({0, len(token), *[rnd.randint(0, len(token)) for _ in range(4)]})
+        batches = [whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        kept = [r for b in jaccard._in_company(iter(batches)) for r in b.to_pylist()]
+        last = len(token) - 1
+        assert [r["g"] for r in kept] == [i for i in range(len(token)) if i in (0, last) or token[i - 1] == token[i] or token[i + 1] == token[i]]
+        assert all(r["g_before"] == (r["g"] - 1 if r["g"] and token[r["g"] - 1] == r["token"] else None) for r in kept)
+        stars = [r for b in jaccard._to_centre(iter(batches)) for r in b.to_pylist()]
+        assert [r["g_before"] for r in stars] == [token.index(t) for t in token] and [r["n_before"] for r in stars] == [cols[1][token.index(t)] for t in token]
+
+
 def test_shingles():
     for t in ["", "a", "a b c d", "A b c d e", "x" * 200 + " y z", prose(500)]:
         assert len(shingles.shingles(t)) == len(brute.shingle_set(t))
