@@ -7,17 +7,17 @@ is all that needs to be looked up, its first n - ceil(2t / (1 + t) * n) + 1.
 1. Rarity: a table of 2**SKETCH_BITS counters over the shingles of all documents (hashed), of fixed size, summed over all tasks. The order
    is by level of the counter, then by the fingerprint. Any total order is right; this one keeps shared passages out of prefixes.
 2. Documents with equal sets are one class; classes with the same prefix and size are one group. The lists, one row for each prefix shingle
-   of each group, are sorted by shingle and size over range partitions, so that a shingle that many groups hold is cut between tasks. Rows
+   of each group, are sorted by shingle and the one before it over range partitions, so that a shingle that many groups hold is cut between tasks. Rows
    without a neighbour of the same shingle go.
 3. First pass: neighbours in a list, each group and its list's centre, and neighbours among the classes of a group, are candidates where sizes, places in
    the prefix and parity bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets. The
    links found join classes to components.
-4. Second pass: pairs of groups that still hold several components meet in each shingle that the smaller one's short prefix and the larger one's prefix
-   share, if sizes and places allow a link; they are expanded to members of different components, filtered by their bitmaps, and verified. A
-   pair inside one component needs no check, as its members already reach each other, so a group of copies costs its size, not its square.
+4. Second pass: in lists that still hold several components the groups are expanded to members. Members of different components meet in each shingle
+   that the smaller one's short prefix and the larger one's prefix share; sizes, places and a parity bitmap of 256 bits stand in the join's own
+   condition, so that only pairs that may link become rows. They pass the whole bitmaps and are verified. A pair inside one component needs no check, as its
+   members already reach each other, so a group of copies costs its size, not its square.
 5. Groups that still hold several components themselves: their members have the prefix in common, so two that link also share one of the next
-   n - ceil(2t / (1 + t) * n) + 1 shingles in order. These are the keys by which their members meet, and again only members of different components
-   whose places allow a link become pairs.
+   n - ceil(2t / (1 + t) * n) + 1 shingles in order. These are the keys by which their members meet, under the same conditions.
 
 Every link between different texts thus either is found or runs inside a component, and components are exact.
 Texts are read three to five times and never shuffled: where the sets of some documents are needed, a bitmap of fixed size over their ids tells which texts
@@ -36,21 +36,26 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import among, materialize, spread, text_key, without
-from larkspur.llm.shingles import all_shingles, least_difference, parity, shingles
+from larkspur.llm.shingles import all_shingles, least_difference, parity, parity_words, shingles
 
 THRESHOLD = 80
 SKETCH_BITS = 22
 SLICES = 64
 #: Bits of the map that tells which documents' sets are needed: 8 MB.
 MARK_BITS = 1 << 26
+#: Columns of 64 bits each: a parity bitmap of one width for all sets, for the conditions of joins.
+PARITY = ["q0", "q1", "q2", "q3"]
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -121,10 +126,11 @@ def _class_id(x: np.ndarray) -> bytes:
 
 
 def _sign(batches: Batches, levels, threshold: int) -> Batches:
-    names = ["doc_id", "text_key", "n", "cls", "grp", "bits", "prefix"]
+    names = ["doc_id", "text_key", "n", "cls", "grp", "bits", *PARITY, "prefix"]
     for batch in batches:
         n, cls, grp, bits, prefix = [], [], [], [], []
-        for t in batch.column("text").to_pylist():
+        words = np.zeros((batch.num_rows, len(PARITY)), np.int64)
+        for i, t in enumerate(batch.column("text").to_pylist()):
             x = shingles(t)
             n.append(len(x))
             if not len(x):
@@ -133,12 +139,13 @@ def _sign(batches: Batches, levels, threshold: int) -> Batches:
                 bits.append(None)
                 prefix.append(None)
                 continue
+            words[i] = parity_words(x, len(PARITY))
             first = _ordered(x, levels.value)[: prefix_length(len(x), threshold)].view(np.int64)
             cls.append(_class_id(x))
             grp.append(xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63))
             bits.append(parity(x))
             prefix.append(first)
-        columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(grp, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+        columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(grp, pa.int64()), pa.array(bits, pa.binary()), *map(pa.array, np.ascontiguousarray(words.T)), pa.array(prefix, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -253,69 +260,115 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 # --- the join -------------------------------------------------------------------------------------------------------
-def _sizes_allow(n: str, m: str, threshold: int):
-    """A link needs the smaller size to be at least threshold percent of the larger."""
-    return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * threshold
+def _least_common(n: str, threshold: int) -> Column:
+    return F.expr(f"({2 * threshold}L * {n} + {99 + threshold}) div {100 + threshold}")
 
 
-def _rest_allows(n: str, pos: str, m: str, pos_m: str, threshold: int):
-    """From their places of a common shingle on, two sets must still be able to share enough, if it is their first."""
-    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(pos_m)).cast("long")
-    return most * (100 + threshold) >= (F.col(n).cast("long") + F.col(m)) * threshold
+def _allowed(a: str, b: str, threshold: int) -> Column:
+    """For columns n, pos and PARITY of two sides with suffixes a and b: whether sizes, places of a common shingle, if it is the first, and the
+    parity bitmaps, whose difference is at most that of the sets, allow a link."""
+    n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
+    most = F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}"))
+    common = F.expr(f"({threshold}L * (n{a} + n{b}) + {99 + threshold}) div {100 + threshold}")
+    differ = reduce(add, [F.bit_count(F.col(f"{q}{a}").bitwiseXOR(F.col(f"{q}{b}"))) for q in PARITY])
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (most >= common) & (differ <= n + m - common * 2)
 
 
-def _least_common(n: str, threshold: int) -> Column:
-    return F.expr(f"({2 * threshold}L * {n} + {99 + threshold}) div {100 + threshold}")
+ROW = ["token", "n", "g", "pos"]
+ROW_KIND = "token long, n int, g long, pos int"
+#: The two shingles before a row's own in its prefix.
+PAST = ["p1", "p2"]
 
 
-ROW = ["token", "n", "g", "pos"]
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c)) for c in names]
 
 
 def _in_company(batches: Batches) -> Batches:
-    """Of rows in order of (token, n, g) those that have a neighbour of the same token, each with the one before. The first and the last row of a task
-    may have theirs in another task and stay."""
-    kept: list[np.ndarray] | None = None  # the last two rows, or the only one
-    sent = 0  # how many of these were judged already
+    """Of rows in order of the token those that have a neighbour of the same token; `many` tells those of three or more. The outer rows
+    of a task may have neighbours in another task and count as such."""
+    kept: list[np.ndarray] | None = None
+    sent = 0  # how many of the kept rows were judged already
+    begun = False
 
     def judged(rows: list[np.ndarray], start: int, end: int, last: bool) -> pa.RecordBatch:
-        token = rows[0]
-        same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-        edge = np.zeros(len(token), bool)
-        edge[0] = start == 0
-        edge[-1] = edge[-1] or last
-        at = np.flatnonzero((same[:-1] | same[1:] | edge)[start:end]) + start
-        alone = ~same[:-1][at]
-        before = [pa.array(c[at - 1], mask=alone) for c in rows[1:]]
-        return pa.RecordBatch.from_arrays([*[pa.array(c[at]) for c in rows], *before], names=[*ROW, *[f"{c}_before" for c in ROW[1:]]])
+        t = rows[0]
+        k = len(t)
+        one, two = np.zeros(k, bool), np.zeros(k, bool)
+        one[1:] = t[1:] == t[:-1]
+        two[2:] = t[2:] == t[:-2]
+        some, many = one.copy(), two.copy()
+        some[:-1] |= one[1:]
+        many[:-1] |= two[1:]
+        many[:-2] |= two[2:]
+        if not begun:
+            some[:1] = True
+            many[:2] = True
+        if last:
+            some[-1:] = True
+            many[-2:] = True
+        at = np.flatnonzero(some[start:end]) + start
+        columns = [pa.array(c[at]) for c in rows]
+        for i, c in enumerate(columns[len(ROW) :], 1):  # the first places of a prefix have none
+            columns[len(ROW) + i - 1] = pc.if_else(pc.greater_equal(columns[3], i), c, None)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(many[at])], names=[*ROW, *PAST, "many"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        fresh = [np.asarray(batch.column(c)) for c in ROW]
+        fresh = _columns(batch, [*ROW, *PAST])
         rows = fresh if kept is None else [np.concatenate(x) for x in zip(kept, fresh, strict=True)]
-        yield judged(rows, sent, len(rows[0]) - 1, False)
-        kept = [c[-2:] for c in rows]
-        sent = len(kept[0]) - 1
+        end = max(sent, len(rows[0]) - 2)  # two rows beyond tell what a row belongs to
+        if end > sent:
+            yield judged(rows, sent, end, False)
+        cut = max(0, end - 2)
+        begun = begun or cut > 0
+        kept, sent = [c[cut:] for c in rows], end - cut
     if kept is not None:
         yield judged(kept, sent, len(kept[0]), True)
 
 
-def _to_centre(batches: Batches) -> Batches:
+def _near(n, pos, m, pos_m, threshold: int) -> np.ndarray:
+    """Whether sizes and places of a common shingle, if it is the first, allow a link."""
+    n, m, most = n.astype(np.int64), m.astype(np.int64), np.minimum(n - pos, m - pos_m)
+    return (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & ((100 + threshold) * most >= threshold * (n + m))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _neighbours(batches: Batches, threshold: int) -> Batches:
+    """The pairs of groups next to each other in a list."""
+    last: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _columns(batch, ROW)
+        rows = rows if last is None else [np.concatenate(x) for x in zip(last, rows, strict=True)]
+        token, n, g, pos = rows
+        near = (token[1:] == token[:-1]) & _near(n[1:], pos[1:], n[:-1], pos[:-1], threshold)
+        yield _pairs(g[1:][near], g[:-1][near])
+        last = [c[-1:] for c in rows]
+
+
+def _to_centre(batches: Batches, threshold: int) -> Batches:
     """Of rows in order of (token, degree from high to low) the pairs of each with the first one of its token in the task, the centre."""
     centre: list | None = None
-    names = [*ROW, *[f"{c}_before" for c in ROW[1:]]]
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [np.asarray(batch.column(c)) for c in ROW]
-        token = rows[0]
+        rows = _columns(batch, ROW)
+        token, n, g, pos = rows
         heads = np.flatnonzero(np.concatenate([[centre is None or centre[0] != token[0]], token[1:] != token[:-1]]))
         run = np.searchsorted(heads, np.arange(len(token)), side="right") - 1
         firsts = [c[heads] for c in rows]
         if centre is not None:  # the first rows may go on with the list before
             firsts = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(centre, firsts, strict=True)]
             run = run + 1
-        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in rows], *[pa.array(c[run]) for c in firsts[1:]]], names=names)
+        _, n_c, g_c, pos_c = [c[run] for c in firsts]
+        near = (g != g_c) & _near(n, pos, n_c, pos_c, threshold)
+        yield _pairs(g[near], g_c[near])
         centre = [c[-1] for c in firsts]
 
 
@@ -328,10 +381,6 @@ def _promising(batches: Batches, threshold: int) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
 def _promising_pairs(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _promising(b, threshold), "a long, b long"))
@@ -350,53 +399,57 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: in
 
 
 def _lists(held: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, n, g, pos) for each prefix shingle of each group g, which is known by its least class, with the row before of the same token."""
+    """A row for each prefix shingle of each group g, which is known by its least class, in order of the shingle and, so that neighbours have
+    much in common, of the one before it."""
     groups = classes.groupBy("grp", "n").agg(F.min("v").alias("g"))
     prefixes = held.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
-    rows = groups.join(prefixes, ["grp", "n"]).select("n", "g", F.posexplode("prefix").alias("pos", "token")).select(*ROW)
-    kind = "token long, n int, g long, pos int, n_before int, g_before long, pos_before int"
-    return materialize(rows.repartitionByRange(spread(held), "token", "n", "g").sortWithinPartitions("token", "n", "g").mapInArrow(_in_company, kind))
+    past = lambda i, k: F.coalesce(F.when(i >= k, F.get("prefix", i - k)), F.lit(0)).alias(f"p{k}")
+    each = F.transform("prefix", lambda t, i: F.struct(t.alias("token"), i.alias("pos"), past(i, 1), past(i, 2)))
+    rows = groups.join(prefixes, ["grp", "n"]).select("n", "g", F.inline(each)).select(*ROW, *PAST)
+    order = ["token", "p1", "n", "g"]
+    in_order = rows.repartitionByRange(spread(held), *order).sortWithinPartitions(*order)
+    return materialize(in_order.mapInArrow(_in_company, f"{ROW_KIND}, p1 long, p2 long, many boolean"))
 
 
 def _first_pairs(lists: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    near = _sizes_allow("n_before", "n", threshold) & _rest_allows("n_before", "pos_before", "n", "pos", threshold)
-    chain = lists.where(near).select(F.col("g").alias("a"), F.col("g_before").alias("b"))
+    kind = "a long, b long"
+    chain = lists.select(*ROW).mapInArrow(lambda b: _neighbours(b, threshold), kind)
     # a list's centre is the group that stands in most lists: the original of a group of near copies shares the most with each
-    degrees = lists.groupBy("g").agg(F.count("*").alias("degree"))
-    ranked = lists.select(*ROW).join(degrees, "g").repartitionByRange(spread(lists), "token", F.desc("degree"), "g").sortWithinPartitions("token", F.desc("degree"), "g")
-    star = ranked.select(*ROW).mapInArrow(_to_centre, "token long, n int, g long, pos int, n_before int, g_before long, pos_before int")
-    star = star.where((F.col("g") != F.col("g_before")) & near).select(F.col("g").alias("a"), F.col("g_before").alias("b"))
+    long_ = lists.where("many").select(*ROW)
+    ranked = long_.join(long_.groupBy("g").agg(F.count("*").alias("degree")), "g")
+    ranked = ranked.repartitionByRange(spread(lists), "token", F.desc("degree"), "g").sortWithinPartitions("token", F.desc("degree"), "g")
+    star = ranked.select(*ROW).mapInArrow(lambda b: _to_centre(b, threshold), kind)
     in_group = Window.partitionBy("grp", "n").orderBy("v")
-    inner = classes.select(F.col("v").alias("a"), F.lag("v").over(in_group).alias("b")).where("b is not null")
-    return _ranked(chain.union(star).union(inner), "a", "b")
-
-
-def _group_pairs(lists: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of groups (g_a, g_b) that may hold a link between different components. groups: g with the least and the greatest root."""
-    spanned = lists.select(*ROW).join(groups, "g")
-    mixed = spanned.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    left = materialize(spanned.join(mixed, "token"))
-    x = left.where(F.col("pos") <= F.col("n") - _least_common("n", threshold)).select("token", *[F.col(c).alias(f"{c}_a") for c in ("n", "g", "pos", "low", "high")])
-    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("n", "g", "pos", "low", "high")])
+    inner = classes.select("v", F.lag("v").over(in_group).alias("b")).where("b is not null").select(F.col("b").alias("a"), F.col("v").alias("b"))
+    return chain.union(star).union(inner).distinct()
+
+
+def _outer_pairs(lists: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of classes of different groups and components that a common shingle brings together."""
+    spans = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = lists.select("token", "g").join(spans, "g").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+    left = materialize(lists.select(*ROW, *PAST).join(mixed, "token").join(members.drop("n"), "g"))
+    side = lambda rows, c: rows.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("n", "g", "pos", "v", "root", *PARITY, *PAST)])
+    met_before = reduce(or_, [F.coalesce(F.col(f"{a}_a") == F.col(f"{b}_b"), F.lit(False)) for a in PAST for b in PAST])
+    x, y = side(left.where(F.col("pos") <= F.col("n") - _least_common("n", threshold)), "a"), side(left, "b")
     in_order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("g_a") < F.col("g_b")))
-    apart = (F.col("low_a") != F.col("high_a")) | (F.col("low_b") != F.col("high_b")) | (F.col("low_a") != F.col("low_b"))
-    fits = _sizes_allow("n_a", "n_b", threshold) & _rest_allows("n_a", "pos_a", "n_b", "pos_b", threshold)
-    return x.join(y, "token").where(in_order & apart & fits).select("g_a", "g_b").distinct()
+    # a pair that an earlier shingle brings together need not meet here again
+    return x.join(y, "token").where(in_order & ~met_before & (F.col("root_a") != F.col("root_b")) & _allowed("_a", "_b", threshold)).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
 
 
-def _inside_pairs(docs: DataFrame, classes: DataFrame, rooted: DataFrame, groups: DataFrame, levels, threshold: int) -> DataFrame | None:
+def _inside_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, levels, threshold: int) -> DataFrame | None:
     """Pairs of classes of one group in different components. Two different sets of n shingles share n - 1 at most."""
-    several = groups.where("low <> high").select("g")
-    open_ = rooted.where((F.col("n").cast("long") - 1) * 100 >= (F.col("n").cast("long") + 1) * threshold).join(several, "g").join(classes.select("v", "cls", "rep"), "v")
-    open_ = materialize(open_.select("g", "n", "v", "root", "cls", "rep"))
+    several = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+    open_ = members.where((F.col("n").cast("long") - 1) * 100 >= (F.col("n").cast("long") + 1) * threshold).join(several, "g").join(classes.select("v", "cls", "rep"), "v")
+    open_ = materialize(open_)
     if not open_.limit(1).count():
         return None
     tokens = _read(docs, open_, lambda b, marks: _next_shingles(b, marks, levels, threshold), "cls binary, tokens array<long>").dropDuplicates(["cls"])
-    rows = open_.join(tokens, "cls").select("g", "n", "v", "root", F.posexplode("tokens").alias("pos", "token"))
-    side = lambda c: rows.select("g", "token", "n", *[F.col(x).alias(f"{x}_{c}") for x in ("v", "root", "pos")])
-    met = side("a").join(side("b").drop("n"), ["g", "token"]).where("v_a < v_b and root_a <> root_b")
-    fits = F.col("n") - F.greatest("pos_a", "pos_b") >= _least_common("n", threshold)  # all of the prefix is common, and what is left from here on
-    return met.where(fits).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    # places count from the end of the prefix, all of which is common; a token's place so tells what is left, prefix and all
+    rows = materialize(open_.join(tokens, "cls").select("g", "n", "v", "root", *PARITY, F.posexplode("tokens").alias("pos", "token")))
+    side = lambda c: rows.select("g", "token", *[F.col(x).alias(f"{x}_{c}") for x in ("n", "v", "root", "pos", *PARITY)])
+    met = side("a").join(side("b"), ["g", "token"]).where((F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & _allowed("_a", "_b", threshold))
+    return met.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -404,10 +457,11 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     read = docs.select("doc_id", text_key().alias("text_key"), "text")
     levels = sc.broadcast(rarity_levels(docs))
-    signed = read.mapInArrow(lambda b: _sign(b, levels, threshold), "doc_id long, text_key long, n int, cls binary, grp long, bits binary, prefix array<long>")
+    words = ", ".join(f"{q} long" for q in PARITY)
+    signed = read.mapInArrow(lambda b: _sign(b, levels, threshold), f"doc_id long, text_key long, n int, cls binary, grp long, bits binary, {words}, prefix array<long>")
     signed = materialize(signed)
     held = signed.where("n > 0")
-    classes = _numbered(held.groupBy("cls", "grp", "n", "bits").agg(F.min("doc_id").alias("rep")))
+    classes = _numbered(held.groupBy("cls", "grp", "n", "bits", *PARITY).agg(F.min("doc_id").alias("rep")))
     lists = _lists(held, classes)
 
     first = _promising_pairs(classes, _first_pairs(lists, classes, threshold), threshold)
@@ -415,12 +469,11 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     # what the neighbours left open
     named = classes.groupBy("grp", "n").agg(F.min("v").alias("g"))
-    rooted = materialize(classes.select("grp", "n", "v").join(named, ["grp", "n"]).join(roots, "v", "left").select("g", "n", "v", F.coalesce("root", "v").alias("root")))
-    groups = materialize(rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-    member = lambda c: rooted.select(F.col("g").alias(f"g_{c}"), F.col("v").alias(f"v_{c}"), F.col("root").alias(f"root_{c}"))
-    pairs = _group_pairs(lists, groups, threshold).join(member("a"), "g_a").join(member("b"), "g_b").where("root_a <> root_b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
-    inside = _inside_pairs(docs, classes, rooted, groups, levels, threshold)
-    pairs = _ranked(pairs if inside is None else pairs.union(inside), "a", "b").join(first, ["a", "b"], "left_anti")
+    members = materialize(classes.select("grp", "n", "v", *PARITY).join(named, ["grp", "n"]).join(roots, "v", "left").select("g", "n", "v", F.coalesce("root", "v").alias("root"), *PARITY))
+    pairs = _outer_pairs(lists, members, threshold)
+    inside = _inside_pairs(docs, classes, members, levels, threshold)
+    pairs = pairs if inside is None else pairs.union(inside)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = _promising_pairs(classes, pairs, threshold)
     if second.limit(1).count():
         more = _verify(docs, classes, second, threshold)

@@ -97,6 +97,12 @@ def parity(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
 
 
+def parity_words(x: np.ndarray, n: int) -> np.ndarray:
+    """The parity bitmap of n * 64 bits, n a power of two, as n longs, over the upper bits, which no wider bitmap shares."""
+    bits = np.bincount((x >> np.uint64(64 - (n * 64 - 1).bit_length())).astype(np.int64), minlength=n * 64) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference of two sets, from their bitmaps; the wider one is folded."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)

@@ -249,23 +249,29 @@ def test_jaccard_lists():
     rnd = random.Random(3)
     for _ in range(200):
         token = sorted(rnd.choice(range(12)) for _ in range(rnd.randint(1, 30)))
-        cols = [token, [rnd.randint(1, 9) for _ in token], list(range(len(token))), [rnd.randint(0, 5) for _ in token]]
-        whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int32()])], names=jaccard.ROW)
+        cols = [token, [rnd.randint(1, 9) for _ in token], list(range(len(token))), [rnd.randint(0, 5) for _ in token], token, token]
+        whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])], names=[*jaccard.ROW, *jaccard.PAST])
         cuts = sorted({0, len(token), *[rnd.randint(0, len(token)) for _ in range(4)]})
         batches = [whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
         kept = [r for b in jaccard._in_company(iter(batches)) for r in b.to_pylist()]
         last = len(token) - 1
-        assert [r["g"] for r in kept] == [i for i in range(len(token)) if i in (0, last) or token[i - 1] == token[i] or token[i + 1] == token[i]]
-        assert all(r["g_before"] == (r["g"] - 1 if r["g"] and token[r["g"] - 1] == r["token"] else None) for r in kept)
-        stars = [r for b in jaccard._to_centre(iter(batches)) for r in b.to_pylist()]
-        assert [r["g_before"] for r in stars] == [token.index(t) for t in token] and [r["n_before"] for r in stars] == [cols[1][token.index(t)] for t in token]
+        assert [r["g"] for r in kept] == [i for i, t in enumerate(token) if i in (0, last) or token.count(t) > 1]
+        assert all((r["p1"] is None) == (r["pos"] < 1) and (r["p2"] is None) == (r["pos"] < 2) for r in kept)
+        assert all(r["many"] or token.count(r["token"]) < 3 for r in kept)
+        pairs = [(r["a"], r["b"]) for b in jaccard._neighbours(iter(batches), 1) for r in b.to_pylist()]
+        assert set(pairs) <= {(i, i + 1) for i in range(last) if token[i] == token[i + 1]} and len(pairs) == len(set(pairs))
+        near = lambda i, j: min(cols[1][i], cols[1][j]) * 100 >= 30 * max(cols[1][i], cols[1][j]) and 130 * min(cols[1][i] - cols[3][i], cols[1][j] - cols[3][j]) >= 30 * (cols[1][i] + cols[1][j])
+        stars = [(r["a"], r["b"]) for b in jaccard._to_centre(iter(batches), 30) for r in b.to_pylist()]
+        assert stars == [(token.index(t), i) for i, t in enumerate(token) if token.index(t) != i and near(token.index(t), i)]
 
 
 def test_shingles():
     for t in ["", "a", "a b c d", "A b c d e", "x" * 200 + " y z", prose(500)]:
         assert len(shingles.shingles(t)) == len(brute.shingle_set(t))
     a, b = shingles.shingles(LONG), shingles.shingles(NEAR)
-    assert shingles.least_difference(shingles.parity(a), shingles.parity(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+    apart = len(set(a.tolist()) ^ set(b.tolist()))
+    assert shingles.least_difference(shingles.parity(a), shingles.parity(b)) <= apart
+    assert sum(int(x).bit_count() for x in (shingles.parity_words(a, 4) ^ shingles.parity_words(b, 4)).view("uint64")) <= apart
 
 
 def test_chat(spark):
