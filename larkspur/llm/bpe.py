@@ -2,8 +2,9 @@
 
 A text is cut at its ASCII white space, across which this vocabulary never merges; each distinct word is encoded once in a
 worker's bounded memory of words. A word without white space that is longer than LEAF characters, "long unsplit text", is
-encoded as a tree: its pieces (after the tokenizer's own normalizer and pre-tokenizer) are cut into leaves, leaves are encoded one
-after another, and neighbours are concatenated. At a join, the last k tokens of the left and the first k of the right are encoded anew as one
+encoded as a tree: each of its pieces (after the tokenizer's own normalizer and pre-tokenizer) is halved until the parts are leaves of at most LEAF
+characters. The halves of the upper LEVELS levels are encoded in parallel, by threads of the worker (the library encodes a batch of leaves without
+Python's lock), and neighbours are concatenated. At a join, the last k tokens of the left and the first k of the right are encoded anew as one
 window; if the window begins with the left side's token and ends with the right side's, both sides agree and the
 join is exact, else k doubles. (A sequence of BPE tokens is the encoding of its text if and only if every two neighbours are the encoding of
 theirs; the window keeps its outer tokens, so all neighbours are.) The last leaf carries the end-of-word mark.
@@ -12,7 +13,8 @@ The results equal the library's encode and decode of the whole text without temp
 in a text become these tokens, as there.
 
 Edge cases: a null text counts as empty: no tokens, an empty decoded text. Repeated rows are encoded alike and all stay. An empty table gives an
-empty one. Columns named like an output column are replaced.
+empty one. Columns named like an output column are replaced. A very long text is one row to one worker; beyond its own size it takes memory for its
+distinct words, and for a long word for its pieces.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 import numpy as np
@@ -32,6 +35,8 @@ from pyspark.sql import types as T
 
 LEAF = 512
 FIRST_WINDOW = 4
+#: Levels of a tree whose halves are encoded in parallel, by 2**LEVELS threads.
+LEVELS = 2
 #: Words that a worker keeps beyond those of the group of texts at hand.
 MEMORY = 100_000
 OUT = ["n_tokens", "ids_sha256", "decoded_sha256"]
@@ -61,6 +66,9 @@ class Codec:
         self.inner = models.BPE(vocab=self.vocab, merges=merges)
         del self.spec["model"]
         self.special = [t["content"] for t in self.spec["added_tokens"]]
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        # the two models on their own: without a normalizer and a pre-tokenizer a text is one piece
+        self.alone = {end: Tokenizer(model) for end, model in ((True, self.last), (False, self.inner))}
         self.names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         steps = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
         cuts = (self.spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -70,7 +78,7 @@ class Codec:
 
     # --- tree concatenation -------------------------------------------------------------------------------------
     def _tokens(self, text: str, end: bool) -> list[str]:
-        return [t.value for t in (self.last if end else self.inner).tokenize(text)] if text else []
+        return self.alone[end].encode(text, add_special_tokens=False).tokens if text else []
 
     def _join(self, left: list[str], right: list[str], end: bool) -> list[str]:
         k = FIRST_WINDOW
@@ -84,23 +92,57 @@ class Codec:
             k *= 2
         return left or right
 
+    def _halves(self, text: str) -> list[str]:
+        """The leaves: halves of halves, and so on."""
+        if len(text) <= self.leaf:
+            return [text]
+        mid = len(text) // 2
+        return self._halves(text[:mid]) + self._halves(text[mid:])
+
+    def _united(self, parts: list[list[str]], end: bool) -> list[str]:
+        if len(parts) == 1:
+            return parts[0]
+        mid = len(parts) // 2
+        return self._join(self._united(parts[:mid], False), self._united(parts[mid:], end), end)
+
+    def _tree(self, text: str, end: bool, level: int, pool: ThreadPoolExecutor) -> list[str]:
+        if level < LEVELS and len(text) > self.leaf:  # one half by another thread, the other by this one
+            mid = len(text) // 2
+            other = pool.submit(self._tree, text[:mid], False, level + 1, pool)
+            right = self._tree(text[mid:], end, level + 1, pool)
+            return self._join(other.result(), right, end)
+        leaves = self._halves(text)
+        inner = leaves[:-1] if end else leaves  # one call, during which other threads run
+        parts = [e.tokens for e in self.alone[False].encode_batch(inner, add_special_tokens=False)]
+        return self._united(parts + [self._tokens(leaves[-1], True)] if end else parts, end)
+
     def piece(self, text: str) -> list[str]:
         """Tokens of one pre-token, which stands at the end of a word of this vocabulary."""
-        parts = [self._tokens(text[i : i + self.leaf], i + self.leaf >= len(text)) for i in range(0, len(text), self.leaf)]
-        while len(parts) > 1:
-            pairs = range(0, len(parts), 2)
-            parts = [self._join(parts[i], parts[i + 1], i + 2 >= len(parts)) if i + 1 < len(parts) else parts[i] for i in pairs]
-        return parts[0] if parts else []
+        if len(text) <= self.leaf:
+            return self._tokens(text, True)
+        with ThreadPoolExecutor(2**LEVELS) as pool:  # no more halves than that ever wait for others
+            return self._tree(text, True, 0, pool)
 
-    def long_word(self, word: str) -> list[int]:
-        """A long run without white space; the strings of special tokens come first, then the usual steps."""
-        found = min(((word.find(s), -len(s), s) for s in self.special if s in word), default=None)
-        if found:
-            at, _, s = found
-            return self.long_word(word[:at]) + [self.library.token_to_id(s)] + self.long_word(word[at + len(s) :])
-        text = self.library.normalizer.normalize_str(word) if self.library.normalizer else word
+    def _unsplit(self, text: str) -> list[int]:
+        text = self.library.normalizer.normalize_str(text) if text and self.library.normalizer else text
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text) if text else []
-        return [self.vocab[t] for p, _ in pieces for t in self.piece(p)]
+        known: dict[str, list[int]] = {}
+        ids: list[int] = []
+        for p, _ in pieces:
+            if p not in known:
+                known[p] = [self.vocab[t] for t in self.piece(p)]
+            ids += known[p]
+        return ids
+
+    def long_word(self, word: str) -> list[int]:
+        """A long run without white space; the strings of special tokens come first, from left to right, then the usual steps on what is between."""
+        ids: list[int] = []
+        at = 0
+        for m in self.specials.finditer(word):
+            ids += self._unsplit(word[at : m.start()])
+            ids.append(self.library.token_to_id(m[0]))
+            at = m.end()
+        return ids + self._unsplit(word[at:])
 
     # --- whole texts --------------------------------------------------------------------------------------------
     def _plain(self, word: str) -> list[int]:
