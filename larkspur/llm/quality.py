@@ -5,7 +5,8 @@ the divergence to base 2, 0 to 1): once by the histogram of its characters over
 the histogram of its language's common words against all other words. The references are
 the pooled histograms of all documents of that language that pass the base rules; documents of a
 language without a word list use one reference of all such languages, and only the character
-histogram is judged. A histogram that rests on too few characters or words is not judged (the
+histogram is judged. The bound of the word distance is a share of the distance that a text without any common word has, as that depends on
+the reference. A histogram that rests on too few characters or words is not judged (the
 minimum-length guards), so short clean texts are never rejected by chance.
 
 Base rules, before the divergence: at least MIN_WORDS words, and at most MAX_REPEAT_PERCENT of the words
@@ -23,10 +24,12 @@ judged by the base rules alone. Work per document grows as n log n in its length
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import LOWER, SPACE_CLASS, UPPER, held, materialize, packed, whole_text, words_of
+from larkspur.llm.common import LOWER, SPACE_CLASS, UPPER, held, materialize, packed, text_key, whole_text, without, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -35,7 +38,7 @@ WINDOW = 8
 MIN_CHARS_JUDGED = 400
 MIN_WORDS_JUDGED = 80
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.32
+MAX_WORD_SHARE = 0.85
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 
@@ -50,6 +53,7 @@ OTHER = "other"
 CLASSES = ["lower", "space", "symbol", "upper", "digit", "punct", "rest"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 OUT = [*COUNTS, "base_failed", "kept", "char_distance", "word_distance"]
+FEATURES = ["language", *CLASSES, "common", "n_chars_", *COUNTS, "base_failed"]
 
 
 def _language(c: Column) -> Column:
@@ -142,12 +146,21 @@ def _distance(counts: Column, total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(counts, reference, term), F.lit(0.0), lambda a, x: a + x)))
 
 
+def _most(reference: list[float]) -> float:
+    """The distance of a text without any common word; 0 for a reference without any."""
+    rest = reference[-1]
+    mean = (1 + rest) / 2
+    both = -math.log2(mean) + (rest * math.log2(rest / mean) if rest else 0.0)
+    return math.sqrt(max(0.0, (sum(reference[:-1]) + both) / 2)) if rest < 1 else 0.0
+
+
 def judged(feats: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
     """feats with char_distance, word_distance (null where a guard holds) and kept."""
     share = lambda xs: [x / max(1, sum(xs)) for x in xs]
     chars = _by_language({k: share(v[0]) for k, v in refs.items()}, "array<double>")
     words = _by_language({k: share(v[1]) for k, v in refs.items()}, "array<double>")
-    df = feats.select("*", chars.alias("char_ref"), words.alias("word_ref"), F.array(*CLASSES).alias("classes"))
+    most = F.get(_by_language({k: [_most(share(v[1]))] for k, v in refs.items()}, "array<double>"), F.lit(0))
+    df = feats.select("*", chars.alias("char_ref"), words.alias("word_ref"), most.alias("most"), F.array(*CLASSES).alias("classes"))
     df = df.select("*", F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))).alias("word_bins"))
     has = lambda ref, n, least: (F.size(ref) > 0) & (F.col(n) >= least)
     df = df.select(
@@ -155,14 +168,15 @@ def judged(feats: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> Da
         F.when(has("char_ref", "n_chars_", MIN_CHARS_JUDGED), _distance(F.col("classes"), F.col("n_chars_"), F.col("char_ref"))).alias("char_distance"),
         F.when(has("word_ref", "n_words", MIN_WORDS_JUDGED) & (F.size("word_ref") > 1), _distance(F.col("word_bins"), F.col("n_words"), F.col("word_ref"))).alias("word_distance"),
     )
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    without_words = (F.col("most") > 0) & (F.col("word_distance") > MAX_WORD_SHARE * F.col("most"))
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | F.coalesce(without_words, F.lit(False))
     return df.select("*", held(~F.col("base_failed") & ~far).alias("kept"))
 
 
 def judge_quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with OUT. The small features are kept once, so texts are read once."""
     keep = [c for c in keep if c not in OUT]
-    feats = materialize(features(docs).select(packed_of(keep), "language", *CLASSES, "common", "n_chars_", *COUNTS, "base_failed"))
+    feats = materialize(features(docs).select(packed_of(keep), *FEATURES))
     return judged(feats, references(feats)).select("row.*", *OUT)
 
 
@@ -171,7 +185,9 @@ def packed_of(names: list[str]) -> Column:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. One pass gathers the references, one judges, so that texts are
-    neither shuffled nor stored."""
-    refs = references(features(docs))
-    return judged(features(docs), refs).where("kept").select("row.*")
+    """The documents that pass, with their own columns. Texts are read once for their features, which are small and kept, and once to leave
+    out the rows that were judged bad."""
+    read = docs.select("doc_id", "text", "lang", text_key("lang").alias("text_key"))
+    feats = materialize(features(read).select(F.col("row.doc_id").alias("k_id"), F.col("row.text_key").alias("k_text"), *FEATURES))
+    bad = judged(feats, references(feats)).where("not kept").select("k_id", "k_text").distinct()
+    return without(docs, materialize(bad), "lang")

@@ -60,6 +60,10 @@ def _op4() -> str:
             terms.append(f"coalesce(({half(p, f'({p} + {q}) / 2')} + {half(q, f'({p} + {q}) / 2')}) / 2, 0)")
         return f"sqrt(greatest(0, {' + '.join(terms)}))"
 
+    share = lambda n: f"(CAST({n} AS DOUBLE) / words)"
+    rest = share("w_rest")
+    bare_terms = [f"coalesce({half(share(b), share(b) + ' / 2')}, 0) / 2" for b in bins]
+    most = f"sqrt(greatest(0, {' + '.join(bare_terms)} + ({half('1', f'(1 + {rest}) / 2')} + {half(rest, f'(1 + {rest}) / 2')}) / 2))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_WORDS} AS w, CASE WHEN lang IN ({languages}) THEN lang ELSE 'other' END AS language FROM documents),
 win AS (SELECT k, unnest(range(1, len(w) - {Q.WINDOW} + 2)) AS i, w FROM d WHERE len(w) >= {Q.WINDOW}),
@@ -69,10 +73,10 @@ l AS (SELECT k, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x
 f0 AS (SELECT d.k, doc_id, language, len(w) AS n_words, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(t) AS n_chars, {", ".join(counts)}, {", ".join(common)}
   FROM d LEFT JOIN rep USING (k) JOIN l USING (k)),
 f AS (SELECT *, n_words - ({" + ".join(f"coalesce({b}, 0)" for b in bins)}) AS w_rest, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f0),
-r AS (SELECT language, {", ".join(f"sum({c}) AS {c}" for c in [*classes, *bins, "w_rest"])}, sum({" + ".join(classes)}) AS chars, sum(n_words) AS words FROM f WHERE NOT base_failed GROUP BY language)
+r AS (SELECT *, {most} AS most FROM (SELECT language, {", ".join(f"sum({c}) AS {c}" for c in [*classes, *bins, "w_rest"])}, sum({" + ".join(classes)}) AS chars, sum(n_words) AS words FROM f WHERE NOT base_failed GROUP BY language))
 SELECT f.doc_id, f.n_words, n_chars - f.c_space AS word_chars, f.c_symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_chars >= {Q.MIN_CHARS_JUDGED} AND coalesce({distance(classes, "n_chars", "chars")}, 0) > {Q.MAX_CHAR_DISTANCE})
-  AND NOT (n_words >= {Q.MIN_WORDS_JUDGED} AND f.language <> 'other' AND coalesce({distance([*bins, "w_rest"], "n_words", "words")}, 0) > {Q.MAX_WORD_DISTANCE}) AS kept
+  AND NOT (n_words >= {Q.MIN_WORDS_JUDGED} AND f.language <> 'other' AND coalesce(r.most > 0 AND {distance([*bins, "w_rest"], "n_words", "words")} > {Q.MAX_WORD_SHARE} * r.most, false)) AS kept
 FROM f LEFT JOIN r USING (language)"""
 
 

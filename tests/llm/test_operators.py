@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontaminate, jaccard, lm, pii, quality, sharding, shingles, tokencount, urls
+from larkspur.llm import bpe, chat, decontaminate, jaccard, lm, pii, quality, queries, sharding, shingles, tokencount, urls
 from larkspur.llm.queries import HOST_RULES, PATTERN_RULES, vocabulary
 from tests.llm import brute
 
@@ -120,12 +120,14 @@ def test_decontamination(spark, docs, none):
     for d, t in DOCS:
         found, at = brute.hits(brute.plain_words(t), [(i, brute.plain_words(x)) for i, x in items if i is not None])
         want.append((d, len(brute.plain_words(t)), len(at), len(found), sorted(found), len(found) >= 2))
-    for most in (100_000, 0):
-        decontaminate.BROADCAST_WINDOWS = most
+    usual = decontaminate.BROADCAST_BYTES, decontaminate.PIECE
+    for most, piece in (usual, (-1, 10), (-1, usual[1]), (usual[0], 3)):
+        decontaminate.BROADCAST_BYTES, decontaminate.PIECE = most, piece
         assert rows(decontaminate.find_contamination(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated") == sorted(want, key=repr)
-    decontaminate.BROADCAST_WINDOWS = 100_000
-    clean = decontaminate.drop_contaminated(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == sum(not x[-1] for x in want)
+    decontaminate.BROADCAST_BYTES, decontaminate.PIECE = usual
+    for least in (1, 2):
+        clean = decontaminate.drop_contaminated(docs, bench, least)
+        assert clean.columns == docs.columns and clean.count() == sum(x[3] < least for x in want)
     assert decontaminate.find_contamination(none, bench).count() == 0 and decontaminate.find_contamination(docs, bench.where("false")).where("n_items > 0").count() == 0
 
 
@@ -143,6 +145,19 @@ def test_bpe(docs, none):
         assert bpe.encode(small, t) == library(t)
 
 
+def test_bpe_long_unsplit(spark, tmp_path):
+    """The query over texts without white space, which all go through the tree: special tokens in thousands, a word of some MB."""
+    rnd = random.Random(2)
+    texts = ["<|endoftext|>" * 10_000, "".join(rnd.choices("abcdeft", k=3_000_000)), "".join(rnd.choices("ab1é!'", k=50_000)), "the" * 4000 + "<|endoftext|>" + "x" * 2000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    library = bpe.codec(vocabulary("word_bpe_49k.json")).library
+    want = {}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(library.decode(ids, skip_special_tokens=False)))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op6_bpe(spark, str(tmp_path)).collect()} == want
+
+
 def test_token_counts(docs, none):
     path = vocabulary("byte_bpe_50k.tiktoken")
     c = tokencount.counter(path)
