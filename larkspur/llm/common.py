@@ -6,6 +6,7 @@ import json
 import os
 import re
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,23 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "larkspur-checkpoints")
 
 
+#: Seconds between two collections that `materialize` asks for.
+TIDY_SECONDS = 10.0
+_tidied = [0.0]
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder. Spark removes a checkpoint that is no longer in use
-    where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    """Cuts the lineage with a reliable checkpoint in the shared folder. What led to it, shuffle files above all, is of no more use then; Spark's
+    cleaner removes it (and, where spark.cleaner.referenceTracking.cleanCheckpoints is set, older checkpoints) once the driver's
+    heap is collected, which a job of many steps on small driver tables hardly ever causes by itself."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        sc._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+    return out
 
 
 def spread(df: DataFrame) -> int:

@@ -475,6 +475,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = pairs if inside is None else pairs.union(inside)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = _promising_pairs(classes, pairs, threshold)
+    del lists, first, members, inside, pairs  # their checkpoints may go
     if second.limit(1).count():
         more = _verify(docs, classes, second, threshold)
         if more.limit(1).count():
