@@ -16,7 +16,7 @@ Two kinds of rules:
 
 Both ways to run give the same rows: up to INLINE_RULES rules the index is a constant of the plan and
 judging is one narrow projection, without any shuffle; a longer list becomes a table that is joined by
-token to the distinct URLs.
+token to the distinct URLs, each token in SALTS parts, as tokens like `com` stand in most URLs.
 
 Edge cases: null urls and urls without `://` have an empty host and path, fit no rule and
 are allowed. Repeated rows are judged alike and all stay. Other columns pass through; those that are
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import LOWER, UPPER, ascii_lower, packed
 
 INLINE_RULES = 2000
+SALTS = 32
 OUT = ["host", "path", "rule", "verdict", "pattern"]
 _ENTRY = "token string, text string, block boolean, is_host boolean, size int, regex string"
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -166,7 +167,9 @@ def _joined(parts: DataFrame, rules: list[Compiled]) -> DataFrame:
     index = parts.sparkSession.createDataFrame(rules, _ENTRY)
     entry = F.struct(*[F.col(c) for c in Compiled._fields])
     urls = parts.where(F.col("_rest") != "").groupBy("_rest").agg(*[F.first(c).alias(c) for c in ("_host", "_path", "_full", "_tokens")])
-    hits = urls.select("*", F.explode("_tokens").alias("_token")).join(index, F.col("_token") == F.col("token")).select("_rest", "_host", "_path", "_full", entry.alias("_e"))
+    index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    urls = urls.select("*", F.pmod(F.xxhash64("_rest"), F.lit(SALTS)).cast("int").alias("_salt"), F.explode("_tokens").alias("_token"))
+    hits = urls.join(index, (F.col("_token") == F.col("token")) & (F.col("_salt") == F.col("salt"))).select("_rest", "_host", "_path", "_full", entry.alias("_e"))
     best = hits.where(_fits(F.col("_e"))).groupBy("_rest").agg(F.max(_rank(F.col("_e"))).alias("_best"))
     return parts.join(best, "_rest", "left")
 
