@@ -1,7 +1,8 @@
 """Sharding by histogram sort: exact byte counts below candidate boundaries, refined until the splitters are known,
 then one exchange. The law is `bytes`: shards of near equal size.
 
-Every document has a key: md5 of its text, then md5 of its id, as hex digits, so equal texts stand side by side. The
+Every document has a key: md5 of its text, md5 of its id, and the number of its row, as hex digits, so equal texts stand side by side and no
+two rows have the same key. The
 histogram counts rows and bytes of key prefixes over all partitions; prefixes that hold too many rows (a hot group
 of copies among them) are refined by further digits, past the text's digits into the id's, until
 each leaf is small. So the bytes below every leaf are exact, the exchange deals leaves, and
@@ -11,11 +12,11 @@ A group of equal texts of at most TOLERANCE of a shard's bytes is never split: i
 splitter is off by at most half of that. A larger group is split by row, each row going where its middle falls.
 Shards are ranges of the key; slots number a shard's rows from 0 in key order.
 
-The driver gets at most 4,096 bins for each hot prefix, of which there are at most LEAVES; each round reads the small
+The driver gets at most 4,096 bins for each hot prefix, of which there are at most as many as leaves; each round reads the small
 table of keys, not the texts.
 
 Edge cases: a null text has size 1 and the key of an empty one. Null ids have the key of an empty one.
-Repeated rows have equal keys, stand side by side and get slots of their own. An empty table gives an
+Repeated rows stand side by side and get slots of their own, in any order. An empty table gives an
 empty one. Columns other than those asked for are left out; those named like an output column are replaced.
 """
 
@@ -30,12 +31,13 @@ from larkspur.llm.common import materialize, packed, spread, whole_text
 
 SHARDS = 16
 TOLERANCE = 0.02
-#: Leaves aimed at; a prefix is refined if it holds more than its share of the rows and MIN_LEAF_ROWS.
-LEAVES = 512
+#: Leaves aimed at: four for each partition of a shuffle, within these bounds. A prefix is refined if it holds more than its share of the rows
+#: and MIN_LEAF_ROWS.
+LEAVES, MOST_LEAVES = 512, 16_384
 MIN_LEAF_ROWS = 256
 TEXT_DIGITS = 32
 #: Prefix lengths in hex digits: 4,096 bins at first, then finer; 12 digits nearly always hold one text.
-LEVELS = [3, 6, 9, 12, TEXT_DIGITS, *range(TEXT_DIGITS + 3, 2 * TEXT_DIGITS, 3), 2 * TEXT_DIGITS]
+LEVELS = [3, 6, 9, 12, TEXT_DIGITS, *range(TEXT_DIGITS + 3, 2 * TEXT_DIGITS, 3), *range(2 * TEXT_DIGITS, 80, 3), 80]
 OUT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
@@ -61,7 +63,7 @@ def _leaves(keyed: DataFrame) -> tuple[list[dict], int]:
     most = up = 0
     for level in LEVELS:
         found = [r.asDict() for r in bins(level, hot, up)]
-        most = most or max(MIN_LEAF_ROWS, sum(r["rows"] for r in found) // LEAVES)
+        most = most or max(MIN_LEAF_ROWS, sum(r["rows"] for r in found) // max(LEAVES, min(MOST_LEAVES, 4 * spread(keyed))))
         last = level == LEVELS[-1]
         hot = [] if last else [r["lo"] for r in found if r["rows"] > most]
         if level == TEXT_DIGITS:
@@ -106,7 +108,8 @@ def _leaf_of(lows: list[str]) -> Column:
 def assign_shards(docs: DataFrame, keep: list[str], shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The columns `keep` of docs with key and OUT."""
     keep = [c for c in keep if c not in OUT]
-    keyed = materialize(docs.select(packed(docs, keep).alias("row"), text_size().alias("size"), F.crc32(whole_text().cast("binary")).alias("text_crc32"), sort_key().alias("key")))
+    row = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    keyed = materialize(docs.select(packed(docs, keep).alias("row"), text_size().alias("size"), F.crc32(whole_text().cast("binary")).alias("text_crc32"), F.concat(sort_key(), row).alias("key")))
     leaves, total = _leaves(keyed)
     if not leaves:
         leaves, total = [{"lo": "", "rows_before": 0, "bytes_before": 0, "group_before": 0, "group_bytes": 0}], 1
@@ -128,7 +131,7 @@ def assign_shards(docs: DataFrame, keep: list[str], shards: int = SHARDS, tolera
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Writes the documents with their own columns as Parquet, shard=0 and so on, in key order inside a file. The splitters are the
     least keys of the shards; texts are exchanged once, by ranges of the key."""
-    firsts = {r["shard"]: r["k"] for r in assign_shards(docs, []).groupBy("shard").agg(F.min("key").alias("k")).collect()}
+    firsts = {r["shard"]: r["k"] for r in assign_shards(docs, []).groupBy("shard").agg(F.min(F.substring("key", 1, 2 * TEXT_DIGITS)).alias("k")).collect()}
     bounds = [firsts[i] for i in sorted(firsts)]
     keyed = docs.select("*", sort_key().alias("key"))
     keyed = keyed.select("*", F.get(_constant(sorted(firsts), "int"), _leaf_of(bounds or [""])).alias("shard"))
