@@ -99,6 +99,51 @@ def test_lm(docs, none):
         assert abs(lm.Lattice(model).word(w) - math.log(total("▁" + w))) < 1e-9
 
 
+def test_lm_scores(docs):
+    """Whole documents against a plain recursion over all cuts of each word, with weights from the same counts."""
+    import math
+    from functools import cache
+
+    path = vocabulary("piece_bpe_32k.model")
+    counts = collections.Counter()
+    train = [(d, t) for d, t in DOCS if not lm.held_out(d)]
+    for _, t in train:
+        for w in lm.tokens(t):
+            counts.update(lm.lexicon(path).encode(w.decode()))
+    model = lm.fit(counts, len(train), path)
+    longest = max(map(len, model.pieces))
+
+    def word(w):
+        ways = [1.0] + [0.0] * len(w)
+        for i in range(len(w)):
+            for p in range(1, min(longest, len(w) - i) + 1):
+                ways[i + p] += ways[i] * math.exp(model.pieces.get(w[i : i + p], -math.inf))
+            ways[i + 1] += ways[i] * math.exp(sum(model.bytes_[b] for b in w[i].encode()))
+        return math.log(ways[-1])
+
+    word = cache(word)
+    short = {d: sum(word("▁" + w.decode()) for w in lm.tokens(t)) + model.end for d, t in DOCS if d is not None and all(len(w) < 60 for w in lm.tokens(t))}
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, path).collect() if r["doc_id"] in short}
+    assert len(got) > 10 and all(abs(got[d] - x / math.log(10)) < 1e-6 * max(1, abs(x)) for d, x in short.items())
+
+
+def test_very_long_text(spark):
+    """One text of some MB among short ones, in each operator that works on texts."""
+    rnd = random.Random(5)
+    long_ = " ".join(rnd.choice(VOCABULARY) + str(rnd.randrange(5000)) for _ in range(200_000)) + " mail bob@x.org"
+    some = [(1, long_), (2, "short one here"), (3, long_ + " end")]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in some], "doc_id long, text string, lang string").repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(long_.split()[150_000:150_020]))], "item_id long, text string")
+    assert rows(jaccard.link_components(docs), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
+    assert rows(decontaminate.find_contamination(docs, bench), "doc_id", "n_hit", "n_items") == [(1, 20, 1), (2, 0, 0), (3, 20, 1)]
+    assert [r[1] for r in rows(pii.find_pii(docs, ["doc_id"]), "doc_id", "n_email")] == [1, 0, 1]
+    assert [r[1] for r in rows(quality.judge_quality(docs, ["doc_id"]), "doc_id", "n_words")] == [200_002, 3, 200_003]
+    c = tokencount.counter(vocabulary("byte_bpe_50k.tiktoken"))
+    assert [r[1] for r in rows(tokencount.count_revisions(docs, ["doc_id"], vocabulary("byte_bpe_50k.tiktoken")), "doc_id", "n_tokens")] == [len(c.encoding.encode_ordinary(t)) for _, t in some]
+    assert [r[1] for r in rows(lm.score_documents(docs, vocabulary("piece_bpe_32k.model")), "doc_id", "n_tokens")] == [200_003, 4, 200_004]
+    assert [r[1] for r in rows(sharding.assign_shards(docs, ["doc_id"]), "doc_id", "size")] == [len(t) + 1 for _, t in some]
+
+
 def test_quality(docs, none):
     found = quality.judge_quality(docs, ["doc_id", "row", "kept"])
     want = []
@@ -161,8 +206,15 @@ def test_bpe_long_unsplit(spark, tmp_path):
 def test_token_counts(docs, none):
     path = vocabulary("byte_bpe_50k.tiktoken")
     c = tokencount.counter(path)
-    for d in tokencount.count_revisions(docs, ["doc_id"], path).collect():
-        assert d["n_pieces_encoded"] <= 40
+    want = []
+    for d, t in DOCS:
+        new = t or ""
+        for start, end, text in tokencount.revision(new):
+            new = new[:start] + text + new[max(start, end) :]
+        both = [(len(c.encoding.encode_ordinary(x)), len(c.cut.findall(x))) for x in (t or "", new)]
+        want.append((d, both[0][0], both[1][0], both[0][1], both[1][1]))
+    found = tokencount.count_revisions(docs, ["doc_id"], path)
+    assert rows(found, "doc_id", *tokencount.OUT[:4]) == sorted(want, key=repr) and found.where("n_pieces_encoded > 40").count() == 0
     assert tokencount.count_revisions(none, ["doc_id"], path).count() == 0
     for leaf in (1, 3, 64):
         tokencount.LEAF = leaf
@@ -201,9 +253,22 @@ def test_sharding(spark, docs, none):
     assert rows(sharding.assign_shards(docs, ["doc_id"]), *cols) == sorted(plain_shards(DOCS), key=repr)
     many = [(i, f"copy {'same' if i % 3 else i} of this") for i in range(6000)]
     assert rows(sharding.assign_shards(spark.createDataFrame(many, "doc_id long, text string"), ["doc_id"]), *cols) == sorted(plain_shards(many), key=repr)
+    same = [(7, "one text")] * 3000 + [(i, f"text {i}") for i in range(50)]
+    assert rows(sharding.assign_shards(spark.createDataFrame(same, "doc_id long, text string"), ["doc_id"]), *cols) == sorted(plain_shards(same), key=repr)
     assert sharding.assign_shards(none, ["doc_id"]).count() == 0
 
 
+def test_write_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(back, "doc_id", "text", "kept") == rows(docs, "doc_id", "text", "kept") and sorted(back.columns) == sorted([*docs.columns, "shard"])
+
+
+def test_allowed_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://spam-farm.net/"), (3, None)], "page_id long, url string")
+    assert rows(urls.allowed_pages(pages, HOST_RULES + PATTERN_RULES), "page_id") == [(1,), (3,)]
+
+
 def test_jaccard(spark, docs, none):
     base = prose(200).split()
     near = []
