@@ -43,11 +43,33 @@ def plain_tokens(c: Column) -> Column:
     return extract_all(F.lower(F.coalesce(c, F.lit(""))), "[a-z0-9]+")
 
 
+#: Letterlike symbols that stand for letters which the block of mathematical letters leaves out.
+LETTERLIKE = {0x210E: "h", 0x2102: "C", 0x210D: "H", 0x2115: "N", 0x2119: "P", 0x211A: "Q", 0x211D: "R", 0x2124: "Z", 0x212C: "B", 0x2130: "E", 0x2131: "F", 0x210B: "H", 0x2110: "I", 0x2112: "L", 0x2133: "M", 0x211B: "R"}
+_DIGITS = "ZERO ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE".split()
+
+
+def _plain_letter(c: str) -> str:
+    """What a mathematical letter's name ends in, as a plain letter or digit. Variant symbols, nabla and the two signs that Unicode
+    names LAMDA stay as they are."""
+    _, *name = unicodedata.name(c, "none").split()
+    case = {"SMALL", "CAPITAL"}.intersection(name)
+    if "DIGIT" in name:
+        return str(_DIGITS.index(name[-1]))
+    if not case or name[-1] == "LAMDA":
+        return c
+    if len(name[-1]) == 1:
+        return name[-1] if "CAPITAL" in case else name[-1].lower()
+    try:
+        return unicodedata.lookup(f"GREEK {case.pop()} LETTER {name[-1]}")
+    except KeyError:
+        return c
+
+
 def _math_pairs() -> tuple[str, str]:
-    """Mathematical alphanumerics and the letters whose compatibility form they are, for one translate()."""
-    pairs = [(chr(i), unicodedata.normalize("NFKC", chr(i))) for i in [*range(0x1D400, 0x1D800), 0x210E, 0x212C, 0x2130, 0x2131, 0x210B, 0x2110, 0x2112, 0x2133, 0x211B, 0x212F, 0x210A, 0x2134, 0x212D, 0x210C, 0x2111, 0x211C, 0x2128]]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Mathematical letters and digits, and what they stand for, for one translate()."""
+    pairs = {chr(i): _plain_letter(chr(i)) for i in range(0x1D400, 0x1D800)} | {chr(i): x for i, x in LETTERLIKE.items()}
+    changed = {a: b for a, b in pairs.items() if a != b}
+    return "".join(changed), "".join(changed.values())
 
 
 MATH_FROM, MATH_TO = _math_pairs()
@@ -85,9 +107,14 @@ def is_fragment(c: Column) -> Column:
 
 
 def is_heading(c: Column) -> Column:
-    t = F.trim(c)
-    body = F.regexp_replace(t, NUMBER_PREFIX, "")
-    return t.rlike(SECTION) & (F.length(t) <= 80) & ~t.rlike(r"^(19|20)\d\d\.") & ~body.rlike(r"[.!?;]\s+\S") & ~body.contains(",") & (F.size(F.split(t, r"\s+")) <= 9) & ~t.rlike("[,;]$")
+    """A short label after a number or one of the usual words: no date, no clause, no list, nine words at most after the number."""
+    rest = F.trim(F.regexp_replace(c, NUMBER_PREFIX, ""))
+    label = ~rest.rlike(r"[.:]\s+\S") & ~rest.contains(",") & ~rest.endswith(";") & (F.size(F.split(rest, r"\s+")) <= 9)
+    return c.rlike(SECTION) & (F.length(c) <= 80) & ~c.rlike(r"^(19|20)\d{2}[.\s]") & label
+
+
+def is_math_span(font: Column, text: Column) -> Column:
+    return F.coalesce(font.rlike(MATH_FONT), F.lit(False)) | text.rlike(r"[\x{1D400}-\x{1D7FF}]")
 
 
 def is_number(c: Column) -> Column:
@@ -114,7 +141,7 @@ def quote_key(c: Column) -> Column:
 
 
 def without_citations(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s*\[\d+\]", ""))
+    return F.trim(F.regexp_replace(c, r"\s*\[\d+\]\s*", ""))
 
 
 def page_range(start: Column, end: Column) -> Column:

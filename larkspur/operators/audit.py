@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import normalize_span
 from larkspur.functions.units import numbers_in, quantities_match
+from larkspur.operators.search import bm25_batch
+from larkspur.sources.index import Index
 
 #: Fixed values.
 PRIORITY = ["contradicted", "unresolvable_reference", "not_found", "possibly_missing_citation", "underspecified", "partially_supported", "supported", "skipped_own_result"]
@@ -43,6 +45,58 @@ def numeric_prescreen(pairs: DataFrame) -> DataFrame:
     return pairs.select("claim_id").distinct().join(found, "claim_id", "left").select("claim_id", F.col("m").isNotNull().alias("found"), F.col("m.number").alias("matched"))
 
 
+#: Fixed value: a digit and what may have been a unit before a font lost it.
+SUSPECT = r"\d\s*(?:[\x{1D400}-\x{1D7FF}]{1,4}|[A-Z]{2,4}\b)"
+
+
+def suspect_sites(pairs: DataFrame, most: int = 5) -> DataFrame:
+    """(claim_id, hit, doc, page, text) to claim_id, n_sites and the first sites in order of the hits."""
+    each = pairs.select("claim_id", "hit", "doc", "page", F.posexplode(F.regexp_extract_all("text", F.lit(SUSPECT), F.lit(0))).alias("at", "site"))
+    sites = F.sort_array(F.collect_list(F.struct("hit", "at", "doc", "page", "site")))
+    found = each.groupBy("claim_id").agg(F.count("*").alias("n_sites"), F.transform(F.slice(sites, 1, most), lambda s: F.struct(s["doc"].alias("doc"), s["page"].alias("page"), s["site"].alias("site"))).alias("sites"))
+    return pairs.select("claim_id").distinct().join(found, "claim_id", "left").select("claim_id", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.coalesce("sites", F.array().cast("array<struct<doc:string,page:bigint,site:string>>")).alias("sites"))
+
+
+def prescreen(pairs: DataFrame) -> DataFrame:
+    """numeric_prescreen with `reliable`: false where no number was found and some number's unit may have been lost."""
+    return numeric_prescreen(pairs).join(suspect_sites(pairs), "claim_id").select("*", (F.col("found") | (F.col("n_sites") == 0)).alias("reliable"))
+
+
+def audit(claims: DataFrame, registry: DataFrame, index: Index, texts: DataFrame, replies: DataFrame, k: int = 6) -> DataFrame:
+    """The whole check of claims as one job: references, scope, the k best chunks of each claim in its scope, the prescreen of their numbers, and the
+    verdict on the reply. claims: claim_id, cited_ref, is_own_result, claimed, query; texts: chunk_id, doc, page, text; replies: claim_id, verdict, span."""
+    scoped = decide_scope(resolve_references(claims, registry))
+    asked = scoped.where(F.col("action").isin("verify", "verify_uncited")).join(claims.select("claim_id", "claimed", "query"), "claim_id")
+    hits = bm25_batch(index, asked.select(F.col("claim_id").alias("query_id"), F.col("query").alias("text"), "doc_ids", "exclude_tier"), k)
+    pairs = hits.select(F.col("query_id").alias("claim_id"), "chunk_id", F.col("rank").alias("hit")).join(texts, "chunk_id").join(claims.select("claim_id", "claimed"), "claim_id")
+    checked = prescreen(pairs)
+    seen = pairs.groupBy("claim_id").agg(F.count("*").alias("n_hits"), F.collect_list("text").alias("texts"))
+    rows = scoped.select("claim_id", "action", "ref_status").join(seen, "claim_id", "left").join(checked, "claim_id", "left").join(replies, "claim_id", "left")
+    verified = F.coalesce(span_verified(F.col("texts"), F.col("span")), F.lit(False))
+    n, found, reliable = F.coalesce("n_hits", F.lit(0)), F.coalesce("found", F.lit(False)), F.coalesce("reliable", F.lit(True))
+    said = F.coalesce(F.col("verdict"), F.lit(""))
+    out = verdict(F.col("action"), n, said, verified, found, reliable)
+    return rows.select("claim_id", "action", "ref_status", n.alias("n_hits"), found.alias("found"), "matched", reliable.alias("reliable"), verified.alias("span_verified"), out.alias("verdict"), needs_visual_check(F.col("action"), n, said, found, reliable).alias("needs_visual_check"))
+
+
+def needs_visual_check(action: Column, n_hits: Column, said: Column, found: Column, reliable: Column) -> Column:
+    """Whether "not found" may only mean that a font lost the unit."""
+    return action.isin("verify", "verify_uncited") & (n_hits > 0) & (said == "not_found") & ~found & ~reliable
+
+
+def report_lines(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """place and line for each problem, the worst first, then by claim."""
+    worst = records.where(F.col("verdict").isin(PROBLEMS)).orderBy(priority(F.col("verdict")), "claim_id")
+    worst = worst.limit(limit) if limit is not None else worst
+    place = F.row_number().over(Window.orderBy(priority(F.col("verdict")), "claim_id"))
+    return worst.select(place.alias("place"), F.concat(F.lit("["), F.upper("verdict"), F.lit("] claim "), F.col("claim_id").cast("string"), F.lit(" ("), "ref_status", F.lit(")")).alias("line"))
+
+
+def grounded(answered: Column, answer: Column, n_sources: Column) -> Column:
+    """An answer counts only if the model gave one and it names a source that there is."""
+    return F.coalesce(answered, F.lit(False)) & (F.trim(F.coalesce(answer, F.lit(""))) != "") & (F.size(cited_sources(answer, n_sources)) > 0)
+
+
 def verdict(action: Column, n_hits: Column, verdict: Column, verified: Column, found: Column, reliable: Column) -> Column:
     """The model's verdict after the rules, the first that holds."""
     known = F.when(verdict.isin(*PRIORITY), verdict).otherwise("underspecified")
@@ -51,7 +105,7 @@ def verdict(action: Column, n_hits: Column, verdict: Column, verified: Column, f
         F.when(action == "skip", "skipped_own_result")
         .when(action == "flag", "unresolvable_reference")
         .when(n_hits == 0, "not_found")
-        .when((judged == "not_found") & ~reliable, "underspecified")
+        .when((judged == "not_found") & ~found & ~reliable, "underspecified")
         .when((action == "verify_uncited") & (judged == "supported") & found, "possibly_missing_citation")
         .otherwise(judged)
     )

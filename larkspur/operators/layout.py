@@ -22,7 +22,7 @@ def running_bands(lines: DataFrame, pages: DataFrame, share: float = 0.4) -> Dat
     """Texts, digits masked, that stand in the bands of at least max(2, 40 %) of a document's pages. pages: doc, n_pages."""
     keys = lines.where("in_band").select("doc", "page", band_key(F.col("text")).alias("band")).where("band <> ''")
     seen = keys.groupBy("doc", "band").agg(F.count_distinct("page").alias("n"))
-    return seen.join(F.broadcast(pages) if "n_pages" in pages.columns else pages, "doc").where(F.col("n") >= F.greatest(F.lit(2), F.floor(share * F.col("n_pages")))).select("doc", "band", "n")
+    return seen.join(pages, "doc").where(F.col("n") >= F.greatest(F.lit(2), F.floor(share * F.col("n_pages")))).select("doc", "band", "n")
 
 
 def drop_running(lines: DataFrame, bands: DataFrame) -> DataFrame:
@@ -70,11 +70,14 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return df.select("*", F.row_number().over(Window.partitionBy("doc", "page").orderBy("segment", "side", "y0", "x0", "ord")).alias("position")).drop("side")
 
 
-def whitespace_gaps(spans: DataFrame, min_gap: float = MIN_GAP) -> DataFrame:
-    """Uncovered intervals of at least min_gap between the merged intervals (x0, x1) of a page."""
+def whitespace_gaps(spans: DataFrame, extents: DataFrame, min_gap: float = MIN_GAP) -> DataFrame:
+    """What the intervals (x0, x1) of a page leave uncovered of its extent (lo, hi), where it is at least min_gap wide, before the first and
+    after the last as well. A last interval of no width at the end of the extent closes the page."""
+    inside = spans.join(extents, ["doc", "page"]).select("doc", "page", "lo", F.greatest("x0", "lo").alias("x0"), F.least("x1", "hi").alias("x1")).where("x0 < x1")
+    closed = inside.union(extents.select("doc", "page", "lo", F.col("hi").alias("x0"), F.col("hi").alias("x1")))
     w = Window.partitionBy("doc", "page").orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return spans.select("doc", "page", reach.alias("gap_start"), F.col("x0").alias("gap_end")).where(F.col("gap_end") - F.col("gap_start") >= min_gap)
+    return closed.select("doc", "page", F.coalesce(reach, F.col("lo")).alias("gap_start"), F.col("x0").alias("gap_end")).where(F.col("gap_end") - F.col("gap_start") >= min_gap)
 
 
 def carry_section(blocks: DataFrame) -> DataFrame:

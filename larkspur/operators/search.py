@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import page_range, plain_tokens, tokens
+from larkspur.sources.index import EPSILON, Index
 
 #: Fixed values.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+K1, B = 1.5, 0.75
 RRF_K = 60
 CANDIDATES = 30
 
 
-def in_scope(doc_ids: Sequence[str] | None = None, tiers: Sequence[int] | None = None, exclude_tiers: Sequence[int] | None = None) -> Column:
-    """A filter for before the ranking. An empty list of documents is no filter; an empty list of tiers matches nothing."""
+def in_scope(doc_ids: Sequence[str] | None = None, tiers: Sequence[int] | None = None, exclude_tiers: Sequence[int] | None = None, block_types: Sequence[str] | None = None) -> Column:
+    """A filter for before the ranking. An empty list of documents is no filter; an empty list of tiers matches nothing. A chunk is of a
+    block type if any of its blocks is."""
     keep = F.lit(True)
     if doc_ids:
         keep = keep & F.col("doc").isin(list(doc_ids))
@@ -24,32 +26,59 @@ def in_scope(doc_ids: Sequence[str] | None = None, tiers: Sequence[int] | None =
         keep = keep & F.col("tier").isin(list(tiers))
     if exclude_tiers:
         keep = keep & ~F.col("tier").isin(list(exclude_tiers))
+    if block_types:
+        keep = keep & F.arrays_overlap("block_types", F.array(*map(F.lit, block_types)))
     return keep
 
 
-def postings(chunks: DataFrame, *keep: str) -> DataFrame:
-    t = chunks.select("chunk_id", *keep, tokens(F.col("text")).alias("tokens"))
-    return t.select("chunk_id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-
-
-def token_stats(chunks: DataFrame) -> DataFrame:
-    """token, df and idf = ln(N - df + 0.5) - ln(df + 0.5)."""
-    n = chunks.agg(F.count("*").alias("n"))
-    df = postings(chunks).groupBy("token").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-
-
-def bm25(chunks: DataFrame, query: str, scope: Column | None = None) -> DataFrame:
-    """chunk_id, score > 0 and rank from 0 for chunks in scope; statistics are those of all chunks. Only the query's
-    tokens are joined, so the statistics side is as small as the query."""
-    stats = token_stats(chunks)
-    floor = stats.agg((EPSILON * F.avg("idf")).alias("floor"))
-    wanted = chunks.sparkSession.createDataFrame([(query,)], "text string").select(F.explode(tokens(F.col("text"))).alias("token"))
-    idf = stats.join(F.broadcast(wanted), "token").crossJoin(F.broadcast(floor)).select("token", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    mean = chunks.agg(F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    hits = postings(chunks.where(scope) if scope is not None else chunks).join(F.broadcast(idf), "token").crossJoin(F.broadcast(mean))
-    gain = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("chunk_id").agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
+def _gain(idf: Column, dl: Column, avgdl: Column) -> Column:
+    return idf * (K1 + 1) / (1 + K1 * (1 - B + B * dl / avgdl))
+
+
+def bm25(index: Index, query: str, scope: Column | None = None) -> DataFrame:
+    """chunk_id and score > 0 for chunks in scope; statistics are those of all chunks. The query's tokens are constants of the plan, so
+    that only their row groups are read."""
+    spark = index.postings.sparkSession
+    wanted = spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]
+    totals = index.totals.first()
+    if not wanted or totals["floor"] is None:
+        return index.postings.where("false").select("chunk_id", F.lit(0.0).alias("score"))
+    idf = {r["token"]: r["idf"] if r["idf"] >= 0 else totals["floor"] for r in index.stats.where(F.col("token").isin(wanted)).collect()}
+    hits = index.postings.where(F.col("token").isin(wanted))
+    hits = hits.where(scope) if scope is not None else hits
+    weight = F.coalesce(*[F.when(F.col("token") == t, F.lit(x)) for t, x in idf.items()], F.lit(0.0))
+    scored = hits.groupBy("chunk_id").agg(F.round(F.sum(_gain(weight, F.col("dl"), F.lit(totals["avgdl"]))), 6).alias("score"))
+    return scored.where("score > 0")
+
+
+def bm25_batch(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query: query_id, chunk_id, score, rank. queries: query_id, text, and its scope: doc_ids (null or empty: all)
+    and exclude_tier (null: none). Tokens of queries meet postings in one join; the scope is part of it, so it holds before the ranking."""
+    each = queries.select("query_id", "doc_ids", "exclude_tier", F.explode(tokens(F.col("text"))).alias("token"))
+    known = index.stats.crossJoin(F.broadcast(index.totals)).select("token", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    in_reach = (F.coalesce(F.size("doc_ids"), F.lit(0)) <= 0) | F.array_contains("doc_ids", F.col("doc"))
+    met = each.join(known, "token").join(index.postings, "token").where(F.coalesce(in_reach, F.lit(True)) & F.coalesce(F.col("tier") != F.col("exclude_tier"), F.lit(True)))
+    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(_gain(F.col("idf"), F.col("dl"), F.col("avgdl"))), 6).alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return scored.select("*", (place - 1).alias("rank")).where(F.col("rank") < k)
+
+
+def search(index: Index, query: str, vectors: DataFrame | None = None, query_vector: int | None = None, k: int = 8, scorer: Callable[[Column], Column] | None = None, texts: DataFrame | None = None, **scope) -> DataFrame:
+    """Hybrid search: the scope first, then the best CANDIDATES of both arms, their fusion, the reranker where one is given and there are
+    several hits, and k hits with both ranks. vectors: chunk_id, embedding and the scope's columns; query_vector: the chunk_id whose vector is the
+    query's; texts: chunk_id and text for the reranker and the result."""
+    where = in_scope(**scope) if scope else None
+    first = top(bm25(index, query, where), CANDIDATES, "chunk_id")
+    if vectors is None:
+        fused = first.select("chunk_id", F.col("rank").alias("first_rank"), F.lit(None).cast("int").alias("second_rank"), F.round(1.0 / (RRF_K + 1 + F.col("rank")), 8).alias("rrf"))
+    else:
+        second = top(dense(vectors.withColumnRenamed("chunk_id", "vec_id"), query_vector, where), CANDIDATES, "vec_id").withColumnRenamed("vec_id", "chunk_id")
+        fused = fuse(first, second, "chunk_id")
+    hits = fused.join(texts, "chunk_id") if texts is not None else fused
+    if scorer is not None and texts is not None:
+        hits = rerank(hits, scorer)
+        return hits.orderBy(F.desc("rerank_score"), F.desc("rrf"), "chunk_id").limit(k)
+    return hits.orderBy(F.desc("rrf"), F.asc_nulls_last("first_rank"), F.asc_nulls_last("second_rank")).limit(k)
 
 
 def top(scored: DataFrame, k: int, key: str) -> DataFrame:
@@ -92,18 +121,31 @@ def raw_bm25(chunks: DataFrame, query: str) -> DataFrame:
     return terms.join(F.broadcast(known), "token").groupBy("chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
 
 
+#: What a context says about the tiers.
+TIER_NOTES = ["TIER-0, the survey's own paraphrase", "TIER-1, original paper"]
+
+
+def _blocks(hits: DataFrame, head: Column) -> DataFrame:
+    parts = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws("\n", head, "text").alias("part"))))
+    return hits.agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("context"))
+
+
 def context(hits: DataFrame, mark: str = "S") -> DataFrame:
     """One row, `context`: the hits (rank from 0, tier, doc, page_start, page_end, section, text) as numbered blocks. Hits are a top-k."""
-    origin = F.when(F.col("tier") == 0, "TIER-0, the survey's own paraphrase").otherwise("TIER-1, original paper")
+    origin = F.when(F.col("tier") == 0, TIER_NOTES[0]).otherwise(TIER_NOTES[1])
     section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("(no section heading)"))
-    head = F.concat(F.lit(f"[{mark}"), (F.col("rank") + 1).cast("string"), F.lit("] ("), origin, F.lit(") "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(", section: "), section)
-    parts = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws("\n", head, "text").alias("part"))))
-    return hits.agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("context"))
+    return _blocks(hits, F.concat(F.lit(f"[{mark}"), (F.col("rank") + 1).cast("string"), F.lit("] ("), origin, F.lit(") "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(", section: "), section))
+
+
+def evidence(hits: DataFrame) -> DataFrame:
+    """One row, `context`, as the adjudicator reads it."""
+    section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("n/a"))
+    return _blocks(hits, F.concat(F.lit("[E"), (F.col("rank") + 1).cast("string"), F.lit("] "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(" (section: "), section, F.lit(")")))
 
 
-def acceptance(chunks: DataFrame, query: str, doc: str, k: int = 8) -> DataFrame:
+def acceptance(index: Index, query: str, doc: str, k: int = 8) -> DataFrame:
     """One row: whether a filter on a document confines the hits to it and finds any, and whether tier 0 goes when left out."""
-    hits = lambda scope: top(bm25(chunks, query, scope), k, "chunk_id").join(chunks.select("chunk_id", "doc", "tier"), "chunk_id")
+    hits = lambda scope: top(bm25(index, query, scope), k, "chunk_id").join(index.chunks.select("chunk_id", "doc", "tier"), "chunk_id")
     own = hits(in_scope(doc_ids=[doc])).agg(F.coalesce(F.every(F.col("doc") == doc), F.lit(True)).alias("confined"), (F.count("*") > 0).alias("found"))
     gone = hits(in_scope(exclude_tiers=[0])).agg((F.count_if(F.col("tier") == 0) == 0).alias("tier_gone"))
     return own.crossJoin(F.broadcast(gone)).select("*", (F.col("confined") & F.col("found") & F.col("tier_gone")).alias("passed"))

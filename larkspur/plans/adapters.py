@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.index import Index, index_of
+
+#: A table in fewer splits than this and than the cores is dealt out anew, so that small files keep all cores busy.
+FEWEST_SPLITS = 32
+LONG_TEXTS = ["documents", "conversations", "pages"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    least = min(spark.sparkContext.defaultParallelism, FEWEST_SPLITS)
+    return rows.repartition(least) if name in LONG_TEXTS and rows.rdd.getNumPartitions() < least else rows
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +24,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), F.when(F.col("source") == "src0", 0).otherwise(1).alias("tier"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return index_of(chunks(spark, sf_dir), sf_dir)
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents: source, page (the document), place, kind and made-up coordinates."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))

@@ -51,22 +51,22 @@ def query(sql: str | None = None):
 # --- search -----------------------------------------------------------------------------------------------------
 @query(bm25_sql())
 def bm25_topk(spark, sf):
-    return search.top(search.bm25(A.chunks(spark, sf), QUESTION), 10, "chunk_id")
+    return search.top(search.bm25(A.index(spark, sf), QUESTION), 10, "chunk_id")
 
 
 @query(bm25_sql("source IN ('src1', 'src2')"))
 def bm25_topk_scoped(spark, sf):
-    return search.top(search.bm25(A.chunks(spark, sf), QUESTION, search.in_scope(doc_ids=["src1", "src2"])), 10, "chunk_id")
+    return search.top(search.bm25(A.index(spark, sf), QUESTION, search.in_scope(doc_ids=["src1", "src2"])), 10, "chunk_id")
 
 
 @query(bm25_sql("source <> 'src0'"))
 def bm25_exclude_tier(spark, sf):
-    return search.top(search.bm25(A.chunks(spark, sf), QUESTION, search.in_scope(exclude_tiers=[0])), 10, "chunk_id")
+    return search.top(search.bm25(A.index(spark, sf), QUESTION, search.in_scope(exclude_tiers=[0])), 10, "chunk_id")
 
 
 @query(f"WITH {INDEX_SQL} SELECT token, df, round(idf, 6) AS idf FROM i")
 def token_stats(spark, sf):
-    return search.token_stats(A.chunks(spark, sf)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return A.index(spark, sf).stats.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 DENSE_SQL = "SELECT e.vec_id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -86,23 +86,36 @@ def dense_topk_scoped(spark, sf):
   SELECT chunk_id, a.rank AS first_rank, b.rank AS second_rank, round(coalesce(CAST(1 AS DOUBLE) / (61 + a.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (61 + b.rank), 0), 8) AS rrf
   FROM a FULL JOIN b USING (chunk_id) ORDER BY rrf DESC, first_rank NULLS LAST, second_rank NULLS LAST LIMIT 30""")
 def hybrid_rrf(spark, sf):
-    first = search.top(search.bm25(A.chunks(spark, sf), QUESTION), search.CANDIDATES, "chunk_id")
-    second = search.top(search.dense(A.table(spark, sf, "embeddings"), 0), search.CANDIDATES, "vec_id").withColumnRenamed("vec_id", "chunk_id")
-    return search.fuse(first, second, "chunk_id")
+    return search.search(A.index(spark, sf), QUESTION, A.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id"), 0, k=30)
+
+
+BENCH_SQL = f"SELECT item_id, unnest({TOKENS_SQL}) AS token, item_id % 3 AS kind FROM benchmark"
+
+
+@query(f"""WITH {INDEX_SQL}, q AS ({BENCH_SQL}),
+  s AS (SELECT q.item_id AS query_id, p.doc_id AS chunk_id, round(sum((CASE WHEN idf < 0 THEN fl ELSE idf END) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+        FROM q JOIN p USING (token) JOIN i USING (token), n, f WHERE (kind <> 1 OR source IN ('src1', 'src2', 'src3')) AND (kind <> 2 OR source <> 'src0') GROUP BY ALL)
+  SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS INTEGER) AS rank FROM s WHERE score > 0 QUALIFY rank < 6""")
+def claim_topk(spark, sf):
+    """The items of benchmark as claims, a third of them bound to some documents, a third to tier 1."""
+    kind = F.col("item_id") % 3
+    scope = [F.when(kind == 1, F.array(F.lit("src1"), F.lit("src2"), F.lit("src3"))).alias("doc_ids"), F.when(kind == 2, 0).alias("exclude_tier")]
+    return search.bm25_batch(A.index(spark, sf), A.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", *scope), 6)
 
 
 # --- tables -----------------------------------------------------------------------------------------------------
-HIT_SQL = r"regexp_matches(regexp_replace(lower(value), '\b(\d+)\s*(mb|kb)\b', '\1\2', 'g'), '2mb')"
+HIT_SQL = "regexp_matches(replace(lower(value), ' ', ''), '2mb')"
 
 
-@query(f"SELECT label, arg_max(value, (table_id, p_partkey)) AS value FROM ({A.CELLS_SQL}) WHERE {HIT_SQL} GROUP BY label")
+@query(f"SELECT label, arg_max(value, (table_id, p_partkey)) AS value, arg_max(table_id, (table_id, p_partkey)) AS table_id FROM ({A.CELLS_SQL}) WHERE {HIT_SQL} GROUP BY label")
 def set_query(spark, sf):
-    return tabs.set_query(A.tables(spark, sf), "2mb", "granularity")
+    return tabs.set_query(A.tables(spark, sf), "2MB", "Gran")
 
 
-@query(f"SELECT table_id, label, 'granularity' AS \"column\", value FROM ({A.CELLS_SQL}) WHERE {HIT_SQL}")
+@query(f"SELECT table_id, label || ' [' || p_partkey || ']' AS label, 'granularity' AS \"column\", value FROM ({A.CELLS_SQL}) WHERE regexp_matches(replace(lower(value), ' ', ''), '^4kb/[0-9]*2mb$')")
 def table_query(spark, sf):
-    return tabs.query_tables(A.tables(spark, sf), "2mb", "granularity").select("table_id", "label", "column", "value")
+    """Finds cells like `4 KB / 2 MB`."""
+    return tabs.query_tables(A.tables(spark, sf), "^4kb/[0-9]*2MB$", "GRANULARITY").select("table_id", "label", "column", "value")
 
 
 @query(f"""WITH f AS (SELECT DISTINCT label FROM ({A.CELLS_SQL}) WHERE {HIT_SQL}), e AS (SELECT DISTINCT trim(p_name) AS label FROM part WHERE p_size = 2)
@@ -125,6 +138,40 @@ def quantity_parse(spark, sf):
     return A.claims(spark, sf).select("claim_id", q["lo"].alias("lo"), q["dim"].alias("dim"), q["ranged"].alias("ranged"))
 
 
+#: Spelling, dimension and factor, as the published table has them.
+UNITS_SQL = "(VALUES " + ", ".join(f"({i}, '{u}', '{d}', CAST({f!r} AS DOUBLE))" for i, (u, d, f) in enumerate([
+    ("ns", "time", 1e-9), ("nanosecond", "time", 1e-9), ("nanoseconds", "time", 1e-9), ("us", "time", 1e-6), ("µs", "time", 1e-6), ("microsecond", "time", 1e-6), ("microseconds", "time", 1e-6),
+    ("ms", "time", 1e-3), ("millisecond", "time", 1e-3), ("milliseconds", "time", 1e-3), ("s", "time", 1.0), ("sec", "time", 1.0), ("second", "time", 1.0), ("seconds", "time", 1.0),
+    ("b", "bytes", 1.0), ("byte", "bytes", 1.0), ("bytes", "bytes", 1.0), ("kb", "bytes", 2.0**10), ("kib", "bytes", 2.0**10), ("mb", "bytes", 2.0**20), ("mib", "bytes", 2.0**20), ("gb", "bytes", 2.0**30),
+    ("gib", "bytes", 2.0**30), ("tb", "bytes", 2.0**40), ("tib", "bytes", 2.0**40), ("pb", "bytes", 2.0**50), ("b/s", "bandwidth", 1.0), ("kb/s", "bandwidth", 1e3), ("mb/s", "bandwidth", 1e6),
+    ("gb/s", "bandwidth", 1e9), ("tb/s", "bandwidth", 1e12), ("%", "percent", 1.0), ("percent", "percent", 1.0), ("x", "ratio", 1.0), ("×", "ratio", 1.0), ("times", "ratio", 1.0), ("μs", "time", 1e-6), ("pages", None, 1.0), ("min", None, 1.0), ("h", None, 1.0)])).replace("'None'", "NULL") + ") AS units(u, unit, dim, factor)"
+
+
+@query(f"""SELECT o_orderkey AS claim_id, (1000 + o_orderkey % 5000) * factor AS lo, CASE WHEN o_orderkey % 4 >= 2 THEN (7000 + o_orderkey % 5000) * factor ELSE (1000 + o_orderkey % 5000) * factor END AS hi, dim, o_orderkey % 4 >= 2 AS ranged
+  FROM orders JOIN {UNITS_SQL} ON u = o_orderkey % 40""")
+def quantity_units(spark, sf):
+    """Every spelling of a unit, numbers with and without commas, ranges with a dash and with a word."""
+    spelled = "ns nanosecond nanoseconds us µs microsecond microseconds ms millisecond Milliseconds s sec second seconds B byte bytes KB KiB MB MiB GB GiB TB TiB PB B/s KB/s MB/s GB/s TB/s % percent x × times μs pages min h".split()
+    k = F.col("o_orderkey")
+    n, m = F.lit(1000) + k % 5000, F.lit(7000) + k % 5000
+    unit = F.get(F.array(*map(F.lit, spelled)), (k % 40).cast("int"))
+    comma = F.concat(F.expr("cast((1000 + o_orderkey % 5000) div 1000 as string)"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("about "), n.cast("string"), F.lit(" "), unit)).when(k % 4 == 1, F.concat(comma, F.lit(" "), unit))
+    text = text.when(k % 4 == 2, F.concat(n.cast("string"), F.lit("–"), m.cast("string"), F.lit(" "), unit)).otherwise(F.concat(n.cast("string"), F.lit(" to "), m.cast("string"), F.lit(" "), unit))
+    q = U.quantity(text)
+    return A.table(spark, sf, "orders").select(k.alias("claim_id"), q["lo"].alias("lo"), F.coalesce(F.when(q["ranged"], q["hi"]), q["lo"]).alias("hi"), q["dim"].alias("dim"), q["ranged"].alias("ranged"))
+
+
+@query("SELECT o_orderkey AS claim_id, CAST(3 AS BIGINT) AS n, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS first, (o_orderkey % 50 + 1) * CAST(0.001 AS DOUBLE) AS second, CAST(o_orderkey % 7 + 1 AS DOUBLE) AS third FROM orders")
+def quantity_find_all(spark, sf):
+    """Ranges come first, though one stands in the middle."""
+    k = F.col("o_orderkey")
+    text = F.concat((k % 50 + 1).cast("string"), F.lit(" ms, "), (k % 9 + 1).cast("string"), F.lit("-20 x and "), (k % 7 + 1).cast("string"), F.lit(" %"))
+    found = U.find_quantities(text)
+    lo = lambda i: F.get(found, F.lit(i))["lo"]
+    return A.table(spark, sf, "orders").select(k.alias("claim_id"), F.size(found).cast("long").alias("n"), lo(0).alias("first"), lo(1).alias("second"), lo(2).alias("third"))
+
+
 @query(f"SELECT claim_id, abs(q * 1000 - u) <= 0.02 * greatest(q * 1000, u) AS same FROM ({CLAIMS_SQL})")
 def quantity_match_pairs(spark, sf):
     return A.claims(spark, sf).select("claim_id", U.quantities_match(F.col("claimed"), F.col("source")).alias("same"))
@@ -192,18 +239,62 @@ def answer_citations(spark, sf):
     return A.table(spark, sf, "conversations").select("conv_id", "turn", audit.cited_sources(a, F.lit(3)).alias("cited"))
 
 
+VERDICTS = ["supported", "not_found", "contradicted", "partially_supported", "odd", "underspecified"]
+_ALL_SQL = """SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 11 = 0 THEN 'flag' WHEN o_orderkey % 14 = 0 THEN 'skip' WHEN o_orderkey % 7 = 0 THEN 'verify_uncited' ELSE 'verify' END AS action,
+  CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE 2 END AS n_hits, (['supported', 'not_found', 'contradicted', 'partially_supported', 'odd', 'underspecified'])[o_orderkey % 6 + 1] AS said,
+  o_orderkey % 5 <> 0 AS verified, o_orderkey % 3 <> 0 AS found, o_orderkey % 4 <> 0 AS reliable FROM orders"""
+
+
+@query(f"""SELECT claim_id, CASE WHEN action = 'skip' THEN 'skipped_own_result' WHEN action = 'flag' THEN 'unresolvable_reference' WHEN n_hits = 0 THEN 'not_found'
+  WHEN said = 'odd' THEN 'underspecified' WHEN said = 'supported' AND NOT verified THEN 'underspecified' WHEN said = 'not_found' AND NOT found AND NOT reliable THEN 'underspecified'
+  WHEN said = 'supported' AND action = 'verify_uncited' AND found THEN 'possibly_missing_citation' ELSE said END AS verdict,
+  action IN ('verify', 'verify_uncited') AND n_hits > 0 AND said = 'not_found' AND NOT found AND NOT reliable AS needs_visual_check FROM ({_ALL_SQL})""")
+def verdict_all(spark, sf):
+    """Every action with every reply: all eight verdicts occur."""
+    k = F.col("o_orderkey")
+    action = F.when(k % 11 == 0, "flag").when(k % 14 == 0, "skip").when(k % 7 == 0, "verify_uncited").otherwise("verify")
+    n, said = F.when(k % 13 == 0, 0).otherwise(2), F.get(F.array(*map(F.lit, VERDICTS)), (k % 6).cast("int"))
+    out = audit.verdict(action, n, said, k % 5 != 0, k % 3 != 0, k % 4 != 0)
+    return A.table(spark, sf, "orders").select(k.alias("claim_id"), out.alias("verdict"), audit.needs_visual_check(action, n, said, k % 3 != 0, k % 4 != 0).alias("needs_visual_check"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, doc_id % 2 AS doc, regexp_extract_all(replace(text, 'The ', '54 MB '), '[0-9]\\s*(?:[𝐀-𝟿]{{1,4}}|[A-Z]{{2,4}}\\b)') AS s FROM documents)
+  SELECT doc_id AS claim_id, len(s) AS n_sites, coalesce(s[1], '') AS first FROM p""")
+def suspect_sites(spark, sf):
+    d = A.table(spark, sf, "documents")
+    pairs = d.select(F.col("doc_id").alias("claim_id"), F.lit(0).alias("hit"), F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.replace("text", F.lit("The "), F.lit("54 MB ")).alias("text"))
+    return audit.suspect_sites(pairs).select("claim_id", F.col("n_sites").cast("long").alias("n_sites"), F.coalesce(F.get("sites", F.lit(0))["site"], F.lit("")).alias("first"))
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY CASE verdict WHEN 'possibly_missing_citation' THEN 3 ELSE 4 END, claim_id) AS INTEGER) AS place, '[' || upper(verdict) || '] claim ' || claim_id || ' (' || ref_status || ')' AS line
+  FROM ({VERDICT_SQL}) JOIN (SELECT claim_id, CASE WHEN none THEN 'no_citation' WHEN r2 < 25 THEN 'resolved' ELSE 'partially_resolved:[' || r2 || ']' END AS ref_status FROM ({CLAIMS_SQL})) USING (claim_id)
+  WHERE verdict IN ('possibly_missing_citation', 'underspecified') QUALIFY place <= 50""")
+def report_lines(spark, sf):
+    records = _verdicts(spark, sf).join(audit.resolve_references(A.claims(spark, sf), A.registry(spark, sf)).select("claim_id", "ref_status"), "claim_id")
+    return audit.report_lines(records, 50)
+
+
 # --- quality rules ----------------------------------------------------------------------------------------------
-PAGES_SQL = "SELECT source AS doc, doc_id AS page, replace(replace(text, 'the', '(cid:7)'), 'oned', '12. 5 ms') AS text FROM documents"
+PAGES_SQL = "SELECT source AS doc, doc_id AS page, replace(replace(replace(text, 'the', '(cid:7)'), 'oned', '12. 5 ms'), 'tha', '54 ' || chr(119885) || chr(119872)) AS text FROM documents"
 
 
 def _pages(spark, sf):
     t = F.replace(F.replace(F.col("text"), F.lit("the"), F.lit("(cid:7)")), F.lit("oned"), F.lit("12. 5 ms"))
+    t = F.replace(t, F.lit("tha"), F.lit("54 " + chr(119885) + chr(119872)))
     return A.table(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), t.alias("text"))
 
 
+def _context_sql(check: str, severity: str, pattern: str, before: int, after: int) -> str:
+    """Each match with its context, by the places of the matches."""
+    start = "(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))"
+    return f"""SELECT doc, page, '{check}' AS check_name, substr(text, CAST(greatest(s - {before}, 0) AS BIGINT) + 1, CAST(s - greatest(s - {before}, 0) + length(m[i]) + {after} AS BIGINT)) AS detail, '{severity}' AS severity
+    FROM (SELECT doc, page, text, m, i, {start} AS s FROM (SELECT doc, page, text, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc, page, text, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM ({PAGES_SQL}))))"""
+
+
 FLAGS_SQL = f"""
   SELECT doc, page, 'cid_garble' AS check_name, CAST(len(regexp_extract_all(text, '\\(cid:\\d+\\)')) AS VARCHAR) AS detail, 'blocker' AS severity FROM ({PAGES_SQL}) WHERE regexp_matches(text, '\\(cid:\\d+\\)')
-  UNION ALL SELECT doc, page, 'broken_measurement', unnest(regexp_extract_all(text, '(?i)\\b\\d+(?:\\s+\\.\\s*\\d+|\\.\\s+\\d+)\\s*(?:ns|us|ms|GB/s|MB/s|TiB|GiB|MiB|KiB|TB|GB|MB|KB|%)\\b')), 'review' FROM ({PAGES_SQL})
+  UNION ALL {_context_sql("broken_measurement", "review", r"(?i)\\b\\d+(?:\\s+\\.\\s*\\d+|\\.\\s+\\d+)\\s*(?:ns|us|ms|GB/s|MB/s|TiB|GiB|MiB|KiB|TB|GB|MB|KB|%)\\b".replace(chr(92) * 2, chr(92)), 25, 25)}
+  UNION ALL {_context_sql("misencoded_unit", "blocker", r"[0-9][ ]*[𝐀-𝟿]{1,4}", 40, 30)}
   UNION ALL SELECT doc, page, 'low_alnum_ratio', CAST(round(a / d, 2) AS VARCHAR), 'blocker' FROM (SELECT doc, page, CAST(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS DOUBLE) AS a, length(regexp_replace(text, '\\s', '', 'g')) AS d FROM ({PAGES_SQL})) WHERE d >= 200 AND a / d < 0.55"""
 
 
@@ -231,11 +322,26 @@ def quality_coverage(spark, sf):
     return rules.coverage_gaps(pages, A.blocks(spark, sf).where("ord % 4 <> 1"))
 
 
-@query(f"""WITH b AS (SELECT * REPLACE (rtrim(lower(text), '.') AS text) FROM ({A.BLOCKS_SQL})), n AS (SELECT *, lead(text) OVER w AS nt, lead(kind) OVER w AS nk, lead(x0) OVER w AS nx, lead(y0) OVER w AS ny FROM b WINDOW w AS (PARTITION BY doc, page ORDER BY ord))
-  SELECT doc, page, 'paragraph_split_mid_sentence' AS check_name, CAST(ord AS VARCHAR) AS detail, 'info' AS severity FROM n
-  WHERE kind = 'prose' AND nk = 'prose' AND abs(x0 - nx) < 25 AND ny > y0 AND NOT regexp_matches(trim(text), '[.!?:;”"'')\\]]$') AND regexp_matches(trim(nt), '^\\p{{Ll}}')""")
+@query(f"""WITH b AS (SELECT * REPLACE (rtrim(lower(text), '.') AS text) FROM ({A.BLOCKS_SQL}) WHERE kind = 'prose'), n AS (SELECT *, lead(text) OVER w AS nt, lead(x0) OVER w AS nx, lead(y0) OVER w AS ny FROM b WINDOW w AS (PARTITION BY doc, page ORDER BY ord))
+  SELECT doc, page, 'paragraph_split_mid_sentence' AS check_name, '...' || right(rtrim(text, ' '), 40) || ' || ' || left(ltrim(nt, ' '), 40) || '...' AS detail, 'info' AS severity FROM n
+  WHERE abs(x0 - nx) < 25 AND ny >= y0 + 13 - ord % 3 - 2 AND rtrim(text, ' ') <> '' AND NOT regexp_matches(trim(text), '[.!?:;”"'')\\]]$') AND regexp_matches(trim(nt), '^\\p{{Ll}}')""")
 def quality_split_paragraph(spark, sf):
-    return rules.split_paragraphs(A.blocks(spark, sf).withColumn("text", F.rtrim(F.lower("text"), F.lit("."))))
+    """Blocks 11 to 13 high, so that some overlap the next one by less than two."""
+    return rules.split_paragraphs(A.blocks(spark, sf).withColumn("text", F.rtrim(F.lower("text"), F.lit("."))).withColumn("y1", F.col("y0") + 13 - F.col("ord") % 3))
+
+
+@query(f"SELECT (SELECT count(*) FROM documents) AS pages_total, count(DISTINCT (doc, page)) AS pages_flagged, round(count(DISTINCT (doc, page)) / CAST((SELECT count(*) FROM documents) AS DOUBLE), 4) AS flag_rate FROM ({FLAGS_SQL})")
+def quality_totals(spark, sf):
+    pages = _pages(spark, sf)
+    return rules.totals(rules.page_flags(pages), pages)
+
+
+@query("""SELECT source AS doc, doc_id AS page, CASE WHEN n < 0.4 * greatest(1, d) THEN 'low_alnum_ratio_possible_cid_garble' WHEN doc_id % 2 = 0 THEN 'near_figure_caption_possibly_not_a_table' END AS flag
+  FROM (SELECT source, doc_id, length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) AS n, length(regexp_replace(t, '\\s', '', 'g')) AS d FROM (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', '....') ELSE text END AS t FROM documents))""")
+def table_parse_flag(spark, sf):
+    d = A.table(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("...."))).otherwise(F.col("text"))
+    return d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), rules.parse_flag(text, F.col("doc_id") % 2 == 0).alias("flag"))
 
 
 # --- layout -----------------------------------------------------------------------------------------------------
@@ -246,11 +352,13 @@ def body_font_size(spark, sf):
     return layout.body_font_size(spans)
 
 
-@query(f"""WITH b AS ({A.BLOCKS_SQL}), k AS (SELECT doc, page, regexp_replace(trim(text), '\\d+', '#', 'g') AS band FROM b WHERE ord < 2 AND trim(text) <> ''), p AS (SELECT source AS doc, count(*) AS n_pages FROM documents GROUP BY source)
-  SELECT doc, band, count(DISTINCT page) AS n FROM k JOIN p USING (doc) GROUP BY doc, band, n_pages HAVING count(DISTINCT page) >= greatest(2, floor(0.02 * n_pages))""")
+@query(f"""WITH b AS ({A.BLOCKS_SQL}), k AS (SELECT doc, page, CASE WHEN ord = 0 AND page % 2 = 0 THEN 'Draft #' ELSE regexp_replace(trim(text), '\\d+', '#', 'g') END AS band FROM b WHERE ord < 2 AND trim(text) <> ''), p AS (SELECT source AS doc, count(*) AS n_pages FROM documents GROUP BY source)
+  SELECT doc, band, count(DISTINCT page) AS n FROM k JOIN p USING (doc) GROUP BY doc, band, n_pages HAVING count(DISTINCT page) >= greatest(2, floor(0.4 * n_pages))""")
 def running_bands(spark, sf):
-    lines = A.blocks(spark, sf).select("doc", "page", "text", (F.col("ord") < 2).alias("in_band"))
-    return layout.running_bands(lines, A.table(spark, sf, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n_pages")), share=0.02)
+    """Every second page begins with a running head that holds a number."""
+    head = F.when((F.col("ord") == 0) & (F.col("page") % 2 == 0) & (F.trim("text") != ""), F.concat(F.lit(" Draft "), F.col("page").cast("string"))).otherwise(F.col("text"))
+    lines = A.blocks(spark, sf).select("doc", "page", head.alias("text"), (F.col("ord") < 2).alias("in_band"))
+    return layout.running_bands(lines, A.table(spark, sf, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n_pages")))
 
 
 @query(f"SELECT doc, page, CAST(round_even(x0 / 2, 0) * 2 AS DOUBLE) AS bin, count(*) AS n FROM ({A.BLOCKS_SQL}) GROUP BY ALL")
@@ -270,10 +378,13 @@ def section_carry(spark, sf):
     return layout.carry_section(A.blocks(spark, sf)).select("doc", "page", "ord", "section")
 
 
-@query(f"""WITH b AS (SELECT doc, page, y0 AS x0, y0 + length(text) / 20 AS x1 FROM ({A.BLOCKS_SQL})), m AS (SELECT doc, page, max(x1) OVER (PARTITION BY doc, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_start, x0 AS gap_end FROM b)
-  SELECT * FROM m WHERE gap_end - gap_start >= 7""")
+@query(f"""WITH b AS (SELECT doc, page, y0 AS x0, y0 + length(text) / 20 AS x1 FROM ({A.BLOCKS_SQL})), e AS (SELECT doc, page, CAST(-10 AS DOUBLE) AS lo, max(x0) + 12.0 AS hi FROM b GROUP BY ALL), c AS (SELECT doc, page, greatest(x0, lo) AS x0, least(x1, hi) AS x1 FROM b JOIN e USING (doc, page)),
+  s AS (SELECT doc, page, x0, x1 FROM c WHERE x0 < x1 UNION ALL SELECT doc, page, hi, hi FROM e UNION ALL SELECT doc, page, lo, lo FROM e), m AS (SELECT doc, page, x0 AS z, max(x1) OVER (PARTITION BY doc, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+  SELECT doc, page, before AS gap_start, z AS gap_end FROM m WHERE z - before >= 7""")
 def whitespace_gaps(spark, sf):
-    return layout.whitespace_gaps(A.blocks(spark, sf).select("doc", "page", F.col("y0").alias("x0"), (F.col("y0") + F.length("text") / 20).alias("x1")))
+    spans = A.blocks(spark, sf).select("doc", "page", F.col("y0").alias("x0"), (F.col("y0") + F.length("text") / 20).alias("x1"))
+    extents = spans.groupBy("doc", "page").agg(F.lit(-10.0).alias("lo"), (F.max("x0") + 12.0).alias("hi"))
+    return layout.whitespace_gaps(spans, extents)
 
 
 @query(f"""WITH b AS ({A.BLOCKS_SQL}), n AS (SELECT *, CASE WHEN coalesce(y0 - lag(y0) OVER w > 13, true) THEN 1 ELSE 0 END AS fresh FROM (SELECT * FROM b WHERE ord % 3 <> 0) WINDOW w AS (PARTITION BY doc, page ORDER BY y0, x0, ord))
@@ -298,15 +409,26 @@ def line_kinds(spark, sf):
     return A.blocks(spark, sf).select("doc", "page", "ord", T.is_caption(t).alias("caption"), T.is_page_number(t).alias("page_number"), T.is_fragment(t).alias("fragment"))
 
 
-@query()
+_HEADED = f"(SELECT doc, page, ord, CASE ord % 5 WHEN 0 THEN (ord + 1) || '. ' || text WHEN 1 THEN '20' || (ord % 90 + 10) || ' ' || text WHEN 2 THEN '3.' || ord || ' Of: ' || text WHEN 3 THEN 'IV. ' || text ELSE text END AS t FROM ({A.BLOCKS_SQL}))"
+
+
+@query(rf"""SELECT doc, page, ord, regexp_matches(t, '^(\d+(\.\d+){{0,3}}\.?)\s+[A-Z]|^([IVXLC]+)\.\s+[A-Z]|^([A-Z])\.\s+[A-Z]|^§\s*\d|^(?i:Abstract|References|Acknowledg(?:e)?ments?|Conclusions?)\s*$') AND length(t) <= 80 AND NOT regexp_matches(t, '^(19|20)\d\d[.\s]')
+  AND NOT regexp_matches(r, '[.:]\s+\S') AND NOT contains(r, ',') AND len(string_split_regex(r, '\s+')) <= 9 AND NOT ends_with(r, ';') AS heading
+  FROM (SELECT *, trim(regexp_replace(t, '^(\d+(?:\.\d+)*\.?|[IVXLC]+\.|[A-Z]\.|§\s*\d+(?:\.\d+)*)\s*', '')) AS r FROM {_HEADED})""")
 def heading_detect(spark, sf):
-    t = F.concat((F.col("ord") + 1).cast("string"), F.lit(". "), F.col("text"))
+    """Lines after a number, a year, a number with a clause, a roman number, or nothing."""
+    o = F.col("ord")
+    t = F.when(o % 5 == 0, F.concat((o + 1).cast("string"), F.lit(". "), "text")).when(o % 5 == 1, F.concat(F.lit("20"), (o % 90 + 10).cast("string"), F.lit(" "), "text")).when(o % 5 == 2, F.concat(F.lit("3."), o.cast("string"), F.lit(" Of: "), "text")).when(o % 5 == 3, F.concat(F.lit("IV. "), "text")).otherwise(F.col("text"))
     return A.blocks(spark, sf).select("doc", "page", "ord", T.is_heading(t).alias("heading"))
 
 
-@query("SELECT doc_id, translate(text, 'abz', 'abz') AS plain FROM documents")
+@query("SELECT doc_id, text AS plain FROM documents")
 def math_normalize(spark, sf):
-    disguised = F.translate("text", "abz", "".join(chr(0x1D41A + i) for i in (0, 1, 25)))
+    """Small letters in bold italics (where h is a letterlike symbol in italics alone), capitals and digits double-struck, seven of them outside of the block."""
+    letters = "".join(map(chr, [*range(97, 123), *range(65, 91), *range(48, 58)]))
+    double = {"C": 0x2102, "H": 0x210D, "N": 0x2115, "P": 0x2119, "Q": 0x211A, "R": 0x211D, "Z": 0x2124}
+    struck = [chr(0x1D482 + i) for i in range(26)] + [chr(double.get(chr(65 + i), 0x1D538 + i)) for i in range(26)] + [chr(0x1D7D8 + i) for i in range(10)]
+    disguised = F.translate("text", letters, "".join(struck))
     return A.table(spark, sf, "documents").select("doc_id", T.normalize_math(disguised).alias("plain"))
 
 
@@ -323,7 +445,7 @@ def sentence_counts(spark, sf):
 
 @query()
 def chunk_pack(spark, sf):
-    return chunking.pack_chunks(layout.carry_section(A.blocks(spark, sf)))
+    return chunking.number_chunks(chunking.pack_chunks(layout.carry_section(A.blocks(spark, sf))))
 
 
 @query()
@@ -392,9 +514,37 @@ def eval_summary(spark, sf):
     return evalkit.summarize(_answers(spark, sf).select("*", evalkit.refused(F.col("answer"), F.col("answered")).alias("refused")), "refused")
 
 
-@query(f"SELECT claim_id, abs(q * 1000 - u) <= 0.02 * greatest(q * 1000, u) AS complete FROM ({CLAIMS_SQL})")
+@query("SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 3 <> 0 END AS complete FROM orders")
 def numeric_complete(spark, sf):
-    return A.claims(spark, sf).select("claim_id", evalkit.numeric_match(F.col("claimed"), F.col("source")).alias("complete"))
+    """Truths of two numbers, of which every third answer has only one; every fifth truth has none."""
+    k = F.col("o_orderkey")
+    truth = F.when(k % 5 == 0, "no figure").otherwise(F.concat((k % 50 + 1).cast("string"), F.lit(" ms at 90 percent")))
+    answer = F.concat(F.lit("It took "), ((k % 50 + 1) * 1000).cast("string"), F.lit(" us"), F.when(k % 3 != 0, " at 90%.").otherwise("."))
+    return A.table(spark, sf, "orders").select(k.alias("claim_id"), evalkit.numeric_match(truth, answer).alias("complete"))
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN turn % 4 = 1 THEN 'none' ELSE 'scoped' END AS arm, (['A', 'B', 'C'])[conv_id % 3 + 1] AS class, {REFUSED_SQL} AS refused, conv_id % 2 = 0 AS num, turn % 3 = 0 AS ctx, turn % 7 = 0 AS err, elapsed FROM ({ANSWERS_SQL}))
+  SELECT arm, count(*) FILTER (class = 'A' AND num) AS a_numeric_n, count(*) FILTER (class = 'A') AS a_numeric_of, count(*) FILTER (class = 'B' AND refused) AS b_refused_n, count(*) FILTER (class = 'B') AS b_refused_of,
+  count(*) FILTER (class = 'A' AND refused) AS a_refused_n, count(*) FILTER (arm <> 'none' AND ctx) AS context_n, count(*) FILTER (arm <> 'none') AS context_of,
+  round(CAST(count(*) FILTER (arm <> 'none' AND ctx) AS DOUBLE) / nullif(count(*) FILTER (arm <> 'none'), 0), 3) AS context_rate, count(*) FILTER (err) AS errors, round(avg(elapsed), 2) AS mean_elapsed FROM r GROUP BY arm""")
+def eval_arms(spark, sf):
+    """Answers as runs of two arms and three classes, through the record of each run to the summary."""
+    c, t = F.col("conv_id"), F.col("turn")
+    rows = _answers(spark, sf).select(
+        F.when(t % 4 == 1, "none").otherwise("scoped").alias("arm"),
+        F.get(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (c % 3).cast("int")).alias("class"),
+        F.concat("answer", F.when(c % 2 == 0, " 90%").otherwise("")).alias("answer"),
+        "answered", "elapsed", F.when(t % 7 == 0, "timeout").alias("error"),
+        F.lit("90 percent").alias("ground_truth"), F.lit(None).cast("string").alias("trap_answer"), F.lit("d").alias("doc"), F.lit(3).alias("page"),
+        F.array(F.struct(F.lit("d").alias("doc"), F.lit(2).alias("page_start"), F.when(t % 3 == 0, 3).otherwise(2).alias("page_end"))).alias("evidence"),
+    )
+    out = evalkit.summary(evalkit.run_records(rows))
+    return out.select("arm", "a_numeric_n", "a_numeric_of", "b_refused_n", "b_refused_of", "a_refused_n", "context_n", "context_of", "context_rate", "errors", "mean_elapsed")
+
+
+@query(f"SELECT doc, CAST(sum(len(regexp_extract_all(text, '[0-9][ ]*[𝐀-𝟿]{{1,4}}'))) AS BIGINT) AS n_sites FROM ({PAGES_SQL}) GROUP BY doc HAVING sum(len(regexp_extract_all(text, '[0-9][ ]*[𝐀-𝟿]{{1,4}}'))) > 0")
+def misencoded_census(spark, sf):
+    return evalkit.misencoded_census(_pages(spark, sf))
 
 
 @query("""SELECT problem, value FROM (SELECT 'duplicate_doc_id' AS problem, p_name AS value FROM part GROUP BY p_name HAVING count(*) > 1
@@ -489,9 +639,10 @@ def raw_bm25(spark, sf):
     return search.raw_bm25(A.chunks(spark, sf), QUESTION)
 
 
-@query("SELECT true AS confined, true AS found, true AS tier_gone, true AS passed")
+@query(f"""WITH a AS ({bm25_sql("source = 'src1'", 8)}), b AS ({bm25_sql("source <> 'src0'", 8)}), x AS (SELECT bool_and(source = 'src1') AS confined, count(*) > 0 AS found FROM a JOIN documents ON doc_id = chunk_id),
+  y AS (SELECT count(*) FILTER (source = 'src0') = 0 AS tier_gone FROM b JOIN documents ON doc_id = chunk_id) SELECT coalesce(confined, true) AS confined, found, tier_gone, coalesce(confined, true) AND found AND tier_gone AS passed FROM x, y""")
 def acceptance(spark, sf):
-    return search.acceptance(A.chunks(spark, sf), QUESTION, "src1")
+    return search.acceptance(A.index(spark, sf), QUESTION, "src1")
 
 
 @query("""SELECT string_agg('[S' || (r_regionkey + 1) || '] (' || CASE WHEN r_regionkey = 0 THEN 'TIER-0, the survey''s own paraphrase' ELSE 'TIER-1, original paper' END || ') ' || r_name || ' p' || r_regionkey || CASE WHEN r_regionkey % 2 = 1 THEN '-' || (r_regionkey + 1) ELSE '' END

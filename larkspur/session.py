@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import page_range, preview
 from larkspur.operators import search, tables
 from larkspur.sources import registry as R
+from larkspur.sources.index import index_of
 
 HELP = "/tables PATTERN [in COLUMN], /doc ID, /tier N, /k N, /docs, /help, /quit; anything else is searched for"
 
@@ -18,6 +19,7 @@ class Session:
 
     def __init__(self, chunks: DataFrame, table_layer: DataFrame, registry: DataFrame, k: int = 6):
         self.chunks, self.table_layer, self.registry = chunks, table_layer, registry
+        self.index = index_of(chunks, f"session {id(self)}")
         self.doc: str | None = None
         self.tier: int | None = None
         self.k = k
@@ -27,7 +29,7 @@ class Session:
 
     def search(self, query: str) -> DataFrame:
         scope = search.in_scope([self.doc] if self.doc else None, None if self.tier is None else [self.tier])
-        best = search.top(search.bm25(self.chunks, query, scope), self.k, "chunk_id")
+        best = search.top(search.bm25(self.index, query, scope), self.k, "chunk_id")
         return best.join(self.chunks, "chunk_id").select("rank", "score", "doc", page_range(F.col("page_start"), F.col("page_end")).alias("pages"), preview(F.col("text"), 300).alias("preview")).orderBy("rank")
 
     def _set_doc(self, wanted: str) -> str:

@@ -79,6 +79,36 @@ def test_registry(spark):
 def test_chunks_split(spark):
     long = " ".join(f"Sentence {i} has some words in it." for i in range(90))
     blocks = spark.createDataFrame([("d", 1, 0, "short", "a"), ("d", 1, 1, long, "b"), ("d", 2, 2, "y" * 3000, "c")], "doc string, page int, ord int, text string, section string")
+    blocks = blocks.select("*", F.lit("prose").alias("kind"), F.col("ord").cast("double").alias("y0"), F.lit(0.0).alias("x0"))
     found = [(r["chunk"], r["part"], r["text"]) for r in chunking.pack_chunks(blocks).orderBy("chunk", "part").collect()]
     cut = ["y" * 1400, "y" * 1400, "y" * 200]
     assert found == [(0, None, "short"), *((1, i, x) for i, x in enumerate(brute_pack(long))), *((2, i, x) for i, x in enumerate(cut))]
+
+
+def brute_groups(blocks, target=900):
+    """blocks of one document in order: (section, length) -> chunk numbers."""
+    out, n, held, last = [], 0, 0, None
+    for i, (section, size) in enumerate(blocks):
+        if i and (section != last or held >= target):
+            n, held = n + 1, 0
+        out.append(n)
+        held, last = held + size, section
+    return out
+
+
+def test_chunk_groups(spark):
+    """Order by (page, y0, x0), flushes at a change of section and once the target is reached, numbers that run on over documents."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"d{d}", p, i, float(rnd.randrange(50)), float(rnd.randrange(3)), "w" * rnd.randrange(1, 700), rnd.choice(["heading", "prose"]), rnd.choice([None, "a", "b"])) for d in range(3) for i in range(40) for p in [i // 9 + 1]]
+    blocks = spark.createDataFrame(rows, "doc string, page int, ord int, y0 double, x0 double, text string, kind string, section string")
+    found = {(r["doc"], r["ord"]): r["chunk"] for r in chunking.chunk_groups(blocks).collect()}
+    for d in ("d0", "d1", "d2"):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[1], r[3], r[4], r[2]))
+        assert [found[d, r[2]] for r in own] == brute_groups([(r[7], len(r[5])) for r in own])
+    packed = chunking.pack_chunks(blocks)
+    first = packed.where("doc = 'd0' and chunk = 0").first()
+    assert first["block_types"] == sorted(set(first["block_types"])) and len(first["block_ids"]) == first["n_blocks"] and first["block_ids"][0].startswith("d0:p1:")
+    ids = sorted(r["chunk_id"] for r in chunking.number_chunks(packed).collect())
+    assert [x.split(":c")[1] for x in ids] == [f"{i:05d}" for i in range(packed.count())]
