@@ -40,3 +40,21 @@ def read_tables(spark: SparkSession, path: str, doc_id: str | None = None) -> Da
 def chunk_manifest(chunks: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
     return n(chunks, "n_chunks").crossJoin(n(tables, "n_tables")).crossJoin(n(formulas, "n_formulas"))
+
+
+def write_report(records: DataFrame, path: str) -> None:
+    """JSON lines, one for each record."""
+    records.write.mode("overwrite").json(path)
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """The items of an evaluation, JSON lines; blank lines are no items."""
+    source = "struct<doc_id:string,tier:int,page:int,section:string,quote:string>"
+    kind = f"id string, class string, question string, ground_truth string, expected_behavior string, trap_answer string, expected_verdict string, source {source}, note string"
+    return spark.read.schema(kind).json(path).where("id is not null or class is not null or question is not null")
+
+
+def text_blocks(blocks: DataFrame, docs: list[str] | None = None) -> DataFrame:
+    """The blocks that become chunks: prose, headings and captions, of some documents where these are named."""
+    kept = blocks.where(F.col("block_type").isin("prose", "heading", "caption"))
+    return kept.where(F.col("doc_id").isin(docs)) if docs else kept

@@ -63,3 +63,43 @@ def test_bibliography_by_position(spark):
     rows = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "i int, t string")
     found = [r[0] for r in rows.orderBy("i").select(registry.bibliography(F.col("t"))).collect()]
     assert found == [{1: by_year.replace("  ", " "), 2: by_venue, 3: "x" * 600}, {}, None]
+
+
+def test_services(monkeypatch):
+    from larkspur.operators import providers as P
+
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(P.ProviderError):
+        P.require_ready(P.service("openai"))
+    with pytest.raises(P.ProviderError):
+        P.service("nobody")
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    monkeypatch.setenv("LARKSPUR_PROVIDER", "ollama")
+    P.require_ready(P.service("openai"), vision=True)
+    with pytest.raises(P.ProviderError):
+        P.require_ready(P.service("deepseek")._replace(key_env=None), vision=True)
+    sent = []
+    post = lambda url, headers, body: sent.append((url, headers, body)) or {"response": "a", "choices": [{"message": {"content": "b"}}]}
+    assert P.HttpCompleter(P.service(), post).complete("p") == "a" and P.HttpCompleter(P.service("openai"), post).complete("p", b"png") == "b"
+    assert sent[0][2]["prompt"] == "p" and sent[0][1] == {} and sent[1][1] == {"Authorization": "Bearer k"} and sent[1][2]["messages"][0]["content"][1]["type"] == "image_url"
+
+
+def test_registry_files(spark, tmp_path):
+    rows = [(None, "survey", 0, "s.pdf", "A Survey", "survey", None, 2024), (3, "a", 1, "a.pdf", "A", "a", "OSDI", 2020), (None, "b", 1, "b.pdf", "B: c", "b", None, None)]
+    path = str(tmp_path / "corpus.yaml")
+    assert registry.load_checks(path) == {"set_queries": [], "retrieval": {}, "self_audit": []}
+    registry.bootstrap(spark.createDataFrame(rows, registry.SCHEMA), path)
+    assert sorted(map(tuple, registry.load(spark, path).collect()), key=repr) == sorted(rows, key=repr) and open(path).read().count("NEEDS ATTENTION") == 1
+    (tmp_path / "checks.yaml").write_text("set_queries: [{name: n, pattern: 2mb, column: c, expect: [x]}]")
+    assert registry.load_checks(path)["set_queries"][0]["expect"] == ["x"]
+
+
+def test_readers(spark, tmp_path):
+    from larkspur.sources import readers as S
+
+    (tmp_path / "items.jsonl").write_text('{"id": "A1", "class": "A", "question": "q", "source": {"doc_id": "d", "page": 2}}\n\n{"id": "B1", "class": "B"}\n')
+    assert sorted((r["id"], r["source"] and r["source"]["page"]) for r in S.read_items(spark, str(tmp_path / "items.jsonl")).collect()) == [("A1", 2), ("B1", None)]
+    blocks = spark.createDataFrame([("d", "prose"), ("d", "table"), ("e", "caption")], "doc_id string, block_type string")
+    assert S.text_blocks(blocks).count() == 2 and S.text_blocks(blocks, ["d"]).count() == 1
+    S.write_report(blocks, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
