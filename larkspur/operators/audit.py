@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import normalize_span
+from larkspur.functions.text import compose_query, normalize_span
 from larkspur.functions.units import numbers_in, quantities_match
-from larkspur.operators.search import bm25_batch
+from larkspur.operators.chunking import split_passages
+from larkspur.operators.providers import Completer, complete_once, parse_reply
+from larkspur.operators.search import bm25_batch, evidence
 from larkspur.sources.index import Index
 
 #: Fixed values.
@@ -62,13 +66,66 @@ def prescreen(pairs: DataFrame) -> DataFrame:
     return numeric_prescreen(pairs).join(suspect_sites(pairs), "claim_id").select("*", (F.col("found") | (F.col("n_sites") == 0)).alias("reliable"))
 
 
-def audit(claims: DataFrame, registry: DataFrame, index: Index, texts: DataFrame, replies: DataFrame, k: int = 6) -> DataFrame:
+CLAIMS = "claims array<string>"
+#: Of a claim; what may be a number, a list or a flag is read as it is written.
+CLAIM = "subject string, metric string, value string, unit string, relation string, condition string, cited_ref string, source_span string, is_own_result string"
+PARTS = ["subject", "metric", "value", "unit", "relation", "condition"]
+EXTRACT = """List every claim of the passage that states a measured or quantified fact, and what it says of other works.
+For each: subject, metric, value (as written, or null), unit, relation, condition (each one that the passage states, or null), cited_ref (the number in
+brackets, or null), source_span (copied from the passage letter by letter), is_own_result (true if the authors report it of their own work).
+Reply with one JSON object: {"claims": [...]}"""
+ADJUDICATE = """Judge the claim by the retrieved passages alone. verdict is one of: supported, partially_supported, contradicted, not_found, underspecified.
+evidence_span is copied from a passage letter by letter, or empty.
+Reply with one JSON object: {"verdict": "...", "evidence_span": "...", "confidence": "high, medium or low", "explanation": "..."}"""
+
+
+def extracted_claims(replied: DataFrame) -> DataFrame:
+    """Passages with the model's `reply` to a row for each claim, numbered by `at` in its passage. What is no object is no claim; a reply that cannot be
+    read has none. span_in_passage: whether the passage holds the span as it is."""
+    own = [c for c in replied.columns if c not in ("reply", "error", "prompt")]
+    listed = F.filter(parse_reply(F.col("reply"), CLAIMS)["claims"], lambda c: c.startswith("{"))
+    rows = replied.select(*own, F.posexplode(listed).alias("at", "json")).select(*own, "at", F.from_json("json", CLAIM).alias("c"))
+    span = F.trim(F.coalesce("c.source_span", F.lit("")))
+    refs = F.transform(F.split(F.regexp_replace("c.cited_ref", r'[\[\]"]', ""), ","), lambda r: F.regexp_replace(F.trim(r), r"^0+(?=\d)", ""))
+    cited = F.coalesce(F.filter(refs, lambda r: r != ""), F.array().cast("array<string>"))
+    is_own = F.coalesce(F.lower("c.is_own_result").isin("true", "1"), F.lit(False))
+    return rows.select(*own, "at", *[f"c.{p}" for p in PARTS], cited.alias("cited_ref"), is_own.alias("is_own_result"), span.alias("source_span"), ((span != "") & F.col("passage").contains(span)).alias("span_in_passage"))
+
+
+def adjudicated(claims: DataFrame, pairs: DataFrame, make: Callable[[], Completer]) -> DataFrame:
+    """claim_id, verdict and span: the model's word on each claim that has hits."""
+    shown = evidence(pairs.withColumnRenamed("hit", "rank"), ["claim_id"]).join(claims, "claim_id")
+    prompt = F.concat(F.lit(ADJUDICATE + "\n\n--- CLAIM ---\n"), F.to_json(F.struct(*PARTS)), F.lit("\nAs written: "), "source_span", F.lit("\n\n--- PASSAGES ---\n"), "context")
+    r = parse_reply(F.col("reply"), "verdict string, evidence_span string")
+    return complete_once(shown.select("claim_id", prompt.alias("prompt")), "prompt", make).select("claim_id", F.lower(F.trim(r["verdict"])).alias("verdict"), F.trim(r["evidence_span"]).alias("span"))
+
+
+def audit_passages(passages: DataFrame, registry: DataFrame, index: Index, chunks: DataFrame, make: Callable[[], Completer], k: int = 6) -> DataFrame:
+    """passages: their key columns and `passage`. Claims are drawn by the model and checked together; claim_id is the key and the claim's number. chunks:
+    chunk_id, doc, page_start, page_end, section, text. A passage whose call fails has no claims."""
+    keys = [c for c in passages.columns if c != "passage"]
+    asked = passages.select("*", F.concat(F.lit(EXTRACT + "\n\n--- PASSAGE ---\n"), "passage").alias("prompt"))
+    drawn = extracted_claims(complete_once(asked, "prompt", make))
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in [*keys, "at"]])
+    claims = drawn.select(name.alias("claim_id"), "*", F.col("value").alias("claimed"), compose_query(F.col("subject"), F.col("metric"), F.col("value"), F.col("condition")).alias("query"))
+    checked = audit(claims, registry, index, chunks.withColumn("page", F.col("page_start")), lambda pairs: adjudicated(claims, pairs, make), k)
+    return claims.select("claim_id", *keys, "passage", "source_span", "span_in_passage").join(checked, "claim_id")
+
+
+def audit_drafts(drafts: DataFrame, key: str, registry: DataFrame, index: Index, chunks: DataFrame, make: Callable[[], Completer], k: int = 6) -> DataFrame:
+    """The check of whole drafts (key, text), all their paragraphs with numbers in one job."""
+    return audit_passages(split_passages(drafts, key), registry, index, chunks, make, k)
+
+
+def audit(claims: DataFrame, registry: DataFrame, index: Index, texts: DataFrame, replies: DataFrame | Callable[[DataFrame], DataFrame], k: int = 6) -> DataFrame:
     """The whole check of claims as one job: references, scope, the k best chunks of each claim in its scope, the prescreen of their numbers, and the
-    verdict on the reply. claims: claim_id, cited_ref, is_own_result, claimed, query; texts: chunk_id, doc, page, text; replies: claim_id, verdict, span."""
+    verdict on the reply. claims: claim_id, cited_ref, is_own_result, claimed, query; texts: chunk_id, doc, page, text; replies: claim_id, verdict, span, or
+    what makes them of the claims' hits."""
     scoped = decide_scope(resolve_references(claims, registry))
     asked = scoped.where(F.col("action").isin("verify", "verify_uncited")).join(claims.select("claim_id", "claimed", "query"), "claim_id")
     hits = bm25_batch(index, asked.select(F.col("claim_id").alias("query_id"), F.col("query").alias("text"), "doc_ids", "exclude_tier"), k)
     pairs = hits.select(F.col("query_id").alias("claim_id"), "chunk_id", F.col("rank").alias("hit")).join(texts, "chunk_id").join(claims.select("claim_id", "claimed"), "claim_id")
+    replies = replies(pairs) if callable(replies) else replies
     checked = prescreen(pairs)
     seen = pairs.groupBy("claim_id").agg(F.count("*").alias("n_hits"), F.collect_list("text").alias("texts"))
     rows = scoped.select("claim_id", "action", "ref_status").join(seen, "claim_id", "left").join(checked, "claim_id", "left").join(replies, "claim_id", "left")
@@ -120,7 +177,7 @@ def priority(c: Column) -> Column:
 
 def cited_sources(answer: Column, n_sources: Column) -> Column:
     """Numbers of the markers [S1], [S2] ... that exist, distinct, in order."""
-    marks = F.transform(F.regexp_extract_all(answer, F.lit(r"\[S(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    marks = F.transform(F.regexp_extract_all(answer, F.lit(r"\[\s*S([1-9]\d*)\s*\]"), F.lit(1)), lambda x: x.try_cast("int"))
     return F.sort_array(F.array_distinct(F.filter(marks, lambda i: (i >= 1) & (i <= n_sources))))
 
 

@@ -8,6 +8,7 @@ import os
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.sources.index import shared_folder
+
 #: Fixed values.
 RETRIABLE = [408, 409, 429, 500, 502, 503, 504]
 ATTEMPTS, PAUSE = 3, 5.0
@@ -62,6 +65,14 @@ def complete_all(rows: DataFrame, prompt: str, make: Callable[[], Completer]) ->
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
 
 
+def complete_once(rows: DataFrame, prompt: str, make: Callable[[], Completer], path: str | None = None) -> DataFrame:
+    """complete_all, written and read again, so that nothing that follows calls the model anew. path: by default a new folder in the shared one."""
+    spark = rows.sparkSession
+    path = path or os.path.join(shared_folder(spark), f"larkspur-replies-{uuid.uuid4().hex}")
+    complete_all(rows, prompt, make).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def parse_reply(reply: Column, schema: str) -> Column:
     """The JSON object of a reply: without its code fence, else from the first brace to the last."""
     bare = F.regexp_replace(F.trim(reply), r"^```[a-zA-Z]*\s*|\s*```$", "")

@@ -125,22 +125,23 @@ def raw_bm25(chunks: DataFrame, query: str) -> DataFrame:
 TIER_NOTES = ["TIER-0, the survey's own paraphrase", "TIER-1, original paper"]
 
 
-def _blocks(hits: DataFrame, head: Column) -> DataFrame:
+def _blocks(hits: DataFrame, head: Column, keys: Sequence[str]) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws("\n", head, "text").alias("part"))))
-    return hits.agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("context"))
+    return hits.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("context"))
 
 
-def context(hits: DataFrame, mark: str = "S") -> DataFrame:
-    """One row, `context`: the hits (rank from 0, tier, doc, page_start, page_end, section, text) as numbered blocks. Hits are a top-k."""
+def context(hits: DataFrame, mark: str = "S", keys: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of the keys, `context`: the hits (rank from 0, tier, doc, page_start, page_end, section, text) as numbered
+    blocks. Hits are a top-k."""
     origin = F.when(F.col("tier") == 0, TIER_NOTES[0]).otherwise(TIER_NOTES[1])
     section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("(no section heading)"))
-    return _blocks(hits, F.concat(F.lit(f"[{mark}"), (F.col("rank") + 1).cast("string"), F.lit("] ("), origin, F.lit(") "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(", section: "), section))
+    return _blocks(hits, F.concat(F.lit(f"[{mark}"), (F.col("rank") + 1).cast("string"), F.lit("] ("), origin, F.lit(") "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(", section: "), section), keys)
 
 
-def evidence(hits: DataFrame) -> DataFrame:
-    """One row, `context`, as the adjudicator reads it."""
+def evidence(hits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`context` as the adjudicator reads it."""
     section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("n/a"))
-    return _blocks(hits, F.concat(F.lit("[E"), (F.col("rank") + 1).cast("string"), F.lit("] "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(" (section: "), section, F.lit(")")))
+    return _blocks(hits, F.concat(F.lit("[E"), (F.col("rank") + 1).cast("string"), F.lit("] "), "doc", F.lit(" "), page_range(F.col("page_start"), F.col("page_end")), F.lit(" (section: "), section, F.lit(")")), keys)
 
 
 def acceptance(index: Index, query: str, doc: str, k: int = 8) -> DataFrame:

@@ -1,39 +1,61 @@
-"""A lookup session: a scope that sticks, searches and table queries over held DataFrames."""
+"""A lookup session: a scope that sticks, searches, table queries, questions and checks over held DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import page_range, preview
-from larkspur.operators import search, tables
+from larkspur.operators import answers, audit, search, tables
+from larkspur.operators.providers import Completer
 from larkspur.sources import registry as R
 from larkspur.sources.index import index_of
 
-HELP = "/tables PATTERN [in COLUMN], /doc ID, /tier N, /k N, /docs, /help, /quit; anything else is searched for"
+HELP = "/tables PATTERN [in COLUMN], /doc ID, /tier N, /k N, /ask QUESTION, /check PASSAGE, /docs, /help, /quit; anything else is searched for"
+OFF = ("", "off", "none", "-")
+MOST = 20
 
 
 class Session:
-    """chunks: chunk_id, doc, tier, page_start, page_end, text; tables as in operators.tables; registry as in sources.registry.
-    Each call of line() returns a DataFrame of results or a message; None ends the session."""
+    """chunks: chunk_id, doc, tier, page_start, page_end, text and perhaps section; tables as in operators.tables; registry as in sources.registry; make:
+    the model of /ask and /check. Each call of line() returns a DataFrame of results or a message; None ends the session."""
 
-    def __init__(self, chunks: DataFrame, table_layer: DataFrame, registry: DataFrame, k: int = 6):
-        self.chunks, self.table_layer, self.registry = chunks, table_layer, registry
+    def __init__(self, chunks: DataFrame, table_layer: DataFrame, registry: DataFrame, k: int = 6, make: Callable[[], Completer] | None = None):
+        self.chunks = chunks if "section" in chunks.columns else chunks.withColumn("section", F.lit(None).cast("string"))
+        self.table_layer, self.registry = table_layer, registry
         self.index = index_of(chunks, f"session {id(self)}")
         self.doc: str | None = None
         self.tier: int | None = None
         self.k = k
+        self.make = make
 
     def scope(self) -> str:
         return " ".join(([f"doc={self.doc}"] if self.doc else []) + ([f"tier={self.tier}"] if self.tier is not None else []))
 
-    def search(self, query: str) -> DataFrame:
+    def _hits(self, query: str) -> DataFrame:
         scope = search.in_scope([self.doc] if self.doc else None, None if self.tier is None else [self.tier])
-        best = search.top(search.bm25(self.index, query, scope), self.k, "chunk_id")
-        return best.join(self.chunks, "chunk_id").select("rank", "score", "doc", page_range(F.col("page_start"), F.col("page_end")).alias("pages"), preview(F.col("text"), 300).alias("preview")).orderBy("rank")
+        return search.top(search.bm25(self.index, query, scope), self.k, "chunk_id").join(self.chunks, "chunk_id")
+
+    def search(self, query: str) -> DataFrame:
+        return self._hits(query).select("rank", "score", "doc", page_range(F.col("page_start"), F.col("page_end")).alias("pages"), preview(F.col("text"), 300).alias("preview")).orderBy("rank")
+
+    def ask(self, question: str) -> DataFrame:
+        questions = self.chunks.sparkSession.createDataFrame([(0, question)], "query_id int, question string")
+        return answers.ask(questions, self._hits(question).withColumn("query_id", F.lit(0)), self.make)
+
+    def check(self, passage: str) -> DataFrame:
+        """The claims choose their own scopes; that of the session does not hold here."""
+        passages = self.chunks.sparkSession.createDataFrame([(1, passage)], "paragraph_index int, passage string")
+        return audit.audit_passages(passages, self.registry.select("ref", F.col("doc_id").alias("doc")), self.index, self.chunks, self.make, self.k)
+
+    def query_tables(self, pattern: str, column: str | None) -> DataFrame:
+        held = self.table_layer.columns
+        return tables.query_tables(self.table_layer, pattern, column, self.doc if "doc" in held else None, self.tier if "tier" in held else None)
 
     def _set_doc(self, wanted: str) -> str:
-        if not wanted or wanted == "off":
+        if wanted in OFF:
             self.doc = None
             return "all documents"
         found = R.resolve_short(self.registry, wanted).first()
@@ -42,13 +64,19 @@ class Session:
         self.doc = found["doc_id"]
         return self.scope()
 
-    def _set_number(self, name: str, value: str) -> str:
-        if name == "tier" and value in ("", "off"):
-            self.tier = None
-        elif value.isdecimal() and (name == "tier" or int(value) > 0):
-            setattr(self, name, int(value))
-        else:
-            return f"/{name} wants a number"
+    def _set_tier(self, value: str) -> str:
+        if value not in (*OFF, "0", "1"):
+            return "/tier wants 0, 1 or off"
+        self.tier = None if value in OFF else int(value)
+        return self._state()
+
+    def _set_k(self, value: str) -> str:
+        if not value.isdecimal():
+            return "/k wants a number"
+        self.k = max(1, min(MOST, int(value)))
+        return self._state()
+
+    def _state(self) -> str:
         return f"{self.scope()} k={self.k}".strip()
 
     def line(self, text: str) -> DataFrame | str | None:
@@ -61,11 +89,14 @@ class Session:
             return None
         if command == "docs":
             return self.registry.orderBy(F.asc_nulls_last("ref"))
-        if command == "doc":
-            return self._set_doc(rest)
-        if command in ("tier", "k"):
-            return self._set_number(command, rest)
+        setter = {"doc": self._set_doc, "tier": self._set_tier, "k": self._set_k}.get(command)
+        if setter:
+            return setter(rest)
+        if command in ("ask", "check") and rest:
+            if self.make is None:
+                return "/ask and /check want a model"
+            return self.ask(rest) if command == "ask" else self.check(rest)
         if command == "tables" and rest:
             pattern, _, column = rest.partition(" in ")
-            return tables.query_tables(self.table_layer, pattern.strip().lower(), column.strip().lower() or None)
+            return self.query_tables(pattern.strip(), column.strip() or None)
         return HELP
