@@ -239,6 +239,18 @@ def answer_citations(spark, sf):
     return A.table(spark, sf, "conversations").select("conv_id", "turn", audit.cited_sources(a, F.lit(3)).alias("cited"))
 
 
+@query("""SELECT conv_id, turn, CAST(0 AS INTEGER) AS claim_no, left(text, 20) AS subject, [CAST(turn AS VARCHAR), '9'] AS cited_ref, turn % 2 = 0 AS is_own_result, trim(coalesce(s, '')) AS source_span,
+  coalesce(trim(s) <> '' AND contains(text, trim(s)), false) AS span_in_passage FROM (SELECT *, CASE WHEN turn % 4 = 0 THEN 'odd ' ELSE '' END || substr(text, 5, 30) AS s FROM conversations)""")
+def claim_extraction(spark, sf):
+    """Replies in a code fence, each with one claim and some noise."""
+    k = F.col("turn")
+    span = F.concat(F.when(k % 4 == 0, "odd ").otherwise(""), F.substring("text", 5, 30))
+    claim = F.struct(F.substring("text", 1, 20).alias("subject"), F.array(k.cast("string"), F.lit("09")).alias("cited_ref"), (k % 2 == 0).alias("is_own_result"), span.alias("source_span"))
+    reply = F.concat(F.lit('```json\n{"claims": ["noise", '), F.to_json(claim), F.lit("]}\n```"))
+    found = audit.extracted_claims(A.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("passage"), reply.alias("reply")))
+    return found.select("conv_id", "turn", F.col("at").alias("claim_no"), "subject", "cited_ref", "is_own_result", "source_span", F.coalesce("span_in_passage", F.lit(False)).alias("span_in_passage"))
+
+
 VERDICTS = ["supported", "not_found", "contradicted", "partially_supported", "odd", "underspecified"]
 _ALL_SQL = """SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 11 = 0 THEN 'flag' WHEN o_orderkey % 14 = 0 THEN 'skip' WHEN o_orderkey % 7 = 0 THEN 'verify_uncited' ELSE 'verify' END AS action,
   CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE 2 END AS n_hits, (['supported', 'not_found', 'contradicted', 'partially_supported', 'odd', 'underspecified'])[o_orderkey % 6 + 1] AS said,
