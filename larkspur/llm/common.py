@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -60,11 +61,18 @@ def materialize(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     if time.monotonic() - _tidied[0] > TIDY_SECONDS:
-        sc._jvm.System.gc()
-        _tidied[0] = time.monotonic()
+        tidy(df.sparkSession)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's heaps at once: for callers that have just let go of large shuffles or checkpoints, which `materialize`, called
+    while they are held, cannot see."""
+    gc.collect()  # Python's objects hold the JVM's
+    spark.sparkContext._jvm.System.gc()
+    _tidied[0] = time.monotonic()
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle whose rows were cut by hand."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,9 +6,10 @@ is all that needs to be looked up, its first n - ceil(2t / (1 + t) * n) + 1.
 
 1. Rarity: a table of 2**SKETCH_BITS counters over the shingles of all documents (hashed), of fixed size, summed over all tasks. The order
    is by level of the counter, then by the fingerprint. Any total order is right; this one keeps shared passages out of prefixes.
-2. Documents with equal sets are one class; classes with the same prefix and size are one group. The lists, one row for each prefix shingle
+2. Documents with equal sets are one class; classes with the same prefix and size are one group. Most shingles stand in one prefix only: of
+   each, 32 bits are shuffled, and a bitmap of bounded size over those found twice tells which to look at. The lists, one row for each such prefix shingle
    of each group, are sorted by shingle and the one before it over range partitions, so that a shingle that many groups hold is cut between tasks. Rows
-   without a neighbour of the same shingle go.
+   without a neighbour of the same shingle go, whatever the bitmap let through.
 3. First pass: neighbours in a list, each group and its list's centre, and neighbours among the classes of a group, are candidates where sizes, places in
    the prefix and parity bitmaps (an upper bound of the intersection from n to 2n bits) allow a link; they are verified on their whole sets. The
    links found join classes to components.
@@ -46,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import among, materialize, spread, text_key, without
+from larkspur.llm.common import among, materialize, spread, text_key, tidy, without
 from larkspur.llm.shingles import all_shingles, least_difference, parity, parity_words, shingles
 
 THRESHOLD = 80
@@ -54,6 +55,10 @@ SKETCH_BITS = 22
 SLICES = 64
 #: Bits of the map that tells which documents' sets are needed: 8 MB.
 MARK_BITS = 1 << 26
+#: Least and most bits of the map of shingles that several prefixes hold, 8 and 64 MB; a fuller map lets more through.
+SHARED_BITS = (1 << 26, 1 << 29)
+#: Rows whose prefixes are looked at together.
+SLICE_ROWS = 2_000
 #: Columns of 64 bits each: a parity bitmap of one width for all sets, for the conditions of joins.
 PARITY = ["q0", "q1", "q2", "q3"]
 Batches = Iterator[pa.RecordBatch]
@@ -156,9 +161,8 @@ def _ordered(x: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def _wanted(batches: Batches, marks: np.ndarray) -> Iterator[np.ndarray]:
     """The sets of the texts whose document's bit is set."""
     for batch in batches:
-        at = np.asarray(batch.column("place")).astype(np.int64)
-        keep = (marks[at >> 3] >> (at & 7)) & 1
-        for t in batch.column("text").filter(pa.array(keep.astype(bool))).to_pylist():
+        keep = _has_bits(marks, np.asarray(batch.column("place")).astype(np.int64))
+        for t in batch.column("text").filter(pa.array(keep)).to_pylist():
             x = shingles(t)
             if len(x):
                 yield x
@@ -199,11 +203,18 @@ def _next_shingles(batches: Batches, marks, levels, threshold: int) -> Batches:
     return _in_groups(rows(), "tokens")
 
 
+def _set_bits(marks: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _has_bits(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((marks[at >> 3] >> (at & 7)) & 1).astype(bool)
+
+
 def _mark_bits(batches: Batches) -> Batches:
     marks = np.zeros(MARK_BITS // 8, np.uint8)
     for batch in batches:
-        at = np.asarray(batch.column("place")).astype(np.int64)
-        np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        _set_bits(marks, np.asarray(batch.column("place")).astype(np.int64))
     if marks.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(marks, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "marks"])
@@ -223,10 +234,13 @@ def _place(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
 
 
+MARKS_KIND = "slice int, marks binary"
+
+
 def _marks(ids: DataFrame) -> np.ndarray:
     """A bitmap of MARK_BITS over the ids in column `rep`, united over all tasks; an id that was given has its bit, whatever their number."""
-    kind = "slice int, marks binary"
-    parts = ids.select(_place(F.col("rep")).alias("place")).mapInArrow(_mark_bits, kind).repartition(SLICES, "slice").mapInArrow(_unite_slices, kind)
+    places = ids.select(_place(F.col("rep")).alias("place"))
+    parts = places.mapInArrow(_mark_bits, MARKS_KIND).repartition(SLICES, "slice").mapInArrow(_unite_slices, MARKS_KIND)
     marks = np.zeros((SLICES, MARK_BITS // 8 // SLICES), np.uint8)
     for r in parts.collect():  # SLICES rows, of 8 MB at most before compression
         marks[r["slice"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
@@ -398,14 +412,99 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: in
     return materialize(met.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
+def _prefixes(batches: Batches, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows whose document's bit is set, one for each group of a slice: n, grp, the prefixes end to end and their lengths."""
+    for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+        batch = batch.filter(pa.array(_has_bits(marks, np.asarray(batch.column("place")).astype(np.int64))))
+        if batch.num_rows:
+            n, grp = _columns(batch, ["n", "grp"])
+            batch = batch.take(pa.array(np.unique(np.stack([grp, n.astype(np.int64)]), axis=1, return_index=True)[1]))
+            prefix = batch.column("prefix")
+            yield *_columns(batch, ["n", "grp"]), np.asarray(prefix.flatten()), np.asarray(prefix.value_lengths()).astype(np.int64)
+
+
+def _token_places(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Prefixes prefer low fingerprints, so the lower bits are the even ones."""
+    return tokens & np.int64(bits - 1)
+
+
+def _short_tokens(batches: Batches, marks, bits: int, width: int) -> Batches:
+    """32 bits for each prefix shingle, dealt out by ranges of `width` places: the place in the range, and of the upper half what room is left. Those
+    of one shingle go at most twice for about a million."""
+
+    def out() -> pa.RecordBatch:
+        t, count = np.unique(np.concatenate(found), return_counts=True)
+        t = np.concatenate([t, t[count > 1]])
+        place = _token_places(t, bits)
+        upper = ((t.view(np.uint64) >> np.uint64(32)) % np.uint64((1 << 32) // width)).astype(np.int64)
+        part, short = place // width, (place % width + width * upper).astype(np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, short = part[order], short[order]
+        used, starts = np.unique(part, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([x.tobytes() for x in np.split(short, starts[1:])], pa.binary())], names=["part", "short"])
+
+    found: list[np.ndarray] = []
+    held = 0
+    for _, _, tokens, _ in _prefixes(batches, marks.value):
+        found.append(tokens)
+        held += len(tokens)
+        if held > 1_000_000:
+            yield out()
+            found, held = [], 0
+    if held:
+        yield out()
+
+
+def _twice(batches: Batches, width: int) -> Batches:
+    """Of each range of places the bits of those where the same came twice."""
+    parts: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column("part").to_pylist(), batch.column("short").to_pylist(), strict=True):
+            parts.setdefault(i, []).append(np.frombuffer(raw, np.uint32))
+    for i, found in parts.items():
+        x = np.sort(np.concatenate(found))
+        marks = np.zeros(width // 8, np.uint8)
+        _set_bits(marks, (x[1:][x[1:] == x[:-1]] % np.uint32(width)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(marks.tobytes(), 1)], pa.binary())], names=["slice", "marks"])
+
+
+def _several(prefixes: DataFrame, marks, bits: int) -> np.ndarray:
+    """A bitmap over shingles with the bits of all that stand in two prefixes or more."""
+    parts = spread(prefixes)
+    width = -(-bits // (8 * parts)) * 8
+    short = prefixes.mapInArrow(lambda b: _short_tokens(b, marks, bits, width), "part int, short binary")
+    pieces = short.repartition(parts, "part").mapInArrow(lambda b: _twice(b, width), MARKS_KIND)
+    several = np.zeros((parts, width // 8), np.uint8)
+    for r in pieces.collect():  # SHARED_BITS in all, before compression
+        several[r["slice"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+    return several.reshape(-1)
+
+
+def _shared(batches: Batches, marks, several, bits: int) -> Batches:
+    """A row for each prefix shingle whose bit is set in `several`, with the two before it; 0 where there are none."""
+    for n, grp, tokens, lengths in _prefixes(batches, marks.value):
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.flatnonzero(_has_bits(several.value, _token_places(tokens, bits)))
+        owner = np.repeat(np.arange(len(n)), lengths)[at]
+        pos = at - starts[at]
+        past = [np.where(pos >= k, tokens[np.maximum(at - k, 0)], 0) for k in (1, 2)]
+        columns = [tokens[at], n[owner], grp[owner], pos.astype(np.int32), *past]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "n", "grp", "pos", *PAST])
+
+
 def _lists(held: DataFrame, classes: DataFrame) -> DataFrame:
     """A row for each prefix shingle of each group g, which is known by its least class, in order of the shingle and, so that neighbours have
     much in common, of the one before it."""
-    groups = classes.groupBy("grp", "n").agg(F.min("v").alias("g"))
-    prefixes = held.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
-    past = lambda i, k: F.coalesce(F.when(i >= k, F.get("prefix", i - k)), F.lit(0)).alias(f"p{k}")
-    each = F.transform("prefix", lambda t, i: F.struct(t.alias("token"), i.alias("pos"), past(i, 1), past(i, 2)))
-    rows = groups.join(prefixes, ["grp", "n"]).select("n", "g", F.inline(each)).select(*ROW, *PAST)
+    sc = held.sparkSession.sparkContext
+    groups = classes.groupBy("grp", "n").agg(F.min(F.struct("v", "rep")).alias("least")).select("grp", "n", F.col("least.v").alias("g"), F.col("least.rep").alias("rep"))
+    marks = sc.broadcast(_marks(groups))
+    prefixes = held.select(_place(F.col("doc_id")).alias("place"), "n", "grp", "prefix")
+    shingles_ = classes.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(1 << (shingles_ // 20).bit_length(), SHARED_BITS[0]), SHARED_BITS[1])
+    several = sc.broadcast(_several(prefixes, marks, bits))
+    # other rows of a group may have passed by chance or by their id
+    rows = prefixes.mapInArrow(lambda b: _shared(b, marks, several, bits), "token long, n int, grp long, pos int, p1 long, p2 long").distinct()
+    rows = rows.join(groups, ["grp", "n"]).select(*ROW, *PAST)
     order = ["token", "p1", "n", "g"]
     in_order = rows.repartitionByRange(spread(held), *order).sortWithinPartitions(*order)
     return materialize(in_order.mapInArrow(_in_company, f"{ROW_KIND}, p1 long, p2 long, many boolean"))
@@ -463,9 +562,14 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     held = signed.where("n > 0")
     classes = _numbered(held.groupBy("cls", "grp", "n", "bits", *PARITY).agg(F.min("doc_id").alias("rep")))
     lists = _lists(held, classes)
+    signed = materialize(signed.select("doc_id", "text_key", "n", "cls"))
+    del held  # the prefixes are most of the checkpoint before
 
     first = _promising_pairs(classes, _first_pairs(lists, classes, threshold), threshold)
-    roots = components(_verify(docs, classes, first, threshold))
+    tidy(docs.sparkSession)  # what made the lists, and the prefixes; Python lets go of JVM objects with some delay
+    links = _verify(docs, classes, first, threshold)
+    tidy(docs.sparkSession)  # its sets
+    roots = components(links)
 
     # what the neighbours left open
     named = classes.groupBy("grp", "n").agg(F.min("v").alias("g"))

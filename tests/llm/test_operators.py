@@ -345,6 +345,25 @@ def test_jaccard_lists():
         assert stars == [(token.index(t), i) for i, t in enumerate(token) if token.index(t) != i and near(token.index(t), i)]
 
 
+def shuffled(spark):
+    """Records that all stages so far have written for shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_jaccard_shuffles_no_lone_shingles(spark):
+    """Only prefix shingles that several prefixes hold become rows; here 40 in some 20,000."""
+    texts = [" ".join(f"d{d}w{i}" for i in range(400)) for d in range(250)]
+    texts.append(texts[7] + " more")
+    rows_ = list(enumerate(texts))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    before = shuffled(spark)
+    found = rows(jaccard.link_components(docs), "doc_id", "component_id")
+    assert found == sorted([(d, 7 if d == 250 else d) for d in range(251)], key=repr)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < shuffled(spark) - before < 12_000
+
+
 def test_shingles():
     for t in ["", "a", "a b c d", "A b c d e", "x" * 200 + " y z", prose(500)]:
         assert len(shingles.shingles(t)) == len(brute.shingle_set(t))
