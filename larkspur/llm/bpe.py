@@ -26,13 +26,15 @@ import os
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from larkspur.llm.common import map_batches
+
 LEAF = 512
 FIRST_WINDOW = 4
 #: Levels of a tree whose halves are encoded in parallel, by 2**LEVELS threads.
@@ -52,7 +54,7 @@ _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Codec:
     def __init__(self, path: str, leaf: int = LEAF):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
@@ -61,14 +63,11 @@ class Codec:
         self.library.no_padding()
         model = self.spec["model"]
         self.vocab, self.suffix, self.leaf = model["vocab"], model.get("end_of_word_suffix") or "", leaf
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.last = self.library.model
-        self.inner = models.BPE(vocab=self.vocab, merges=merges)
         del self.spec["model"]
         self.special = [t["content"] for t in self.spec["added_tokens"]]
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        # the two models on their own: without a normalizer and a pre-tokenizer a text is one piece
-        self.alone = {end: Tokenizer(model) for end, model in ((True, self.last), (False, self.inner))}
+        self.path = path
         self.names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         steps = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
         cuts = (self.spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -77,6 +76,16 @@ class Codec:
         self.known: dict[bytes, tuple[str, str, int]] = {}
 
     # --- tree concatenation -------------------------------------------------------------------------------------
+    @cached_property
+    def alone(self) -> dict:
+        """The two models on their own: without a normalizer and a pre-tokenizer a text is one piece. Built for the first long word, as most
+        workers never meet one and the merges of the inner model take memory."""
+        from tokenizers import Tokenizer, models
+
+        with open(self.path, encoding="utf-8") as f:
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.load(f)["model"]["merges"]]
+        return {True: Tokenizer(self.last), False: Tokenizer(models.BPE(vocab=self.vocab, merges=merges))}
+
     def _tokens(self, text: str, end: bool) -> list[str]:
         return self.alone[end].encode(text, add_special_tokens=False).tokens if text else []
 
@@ -120,6 +129,7 @@ class Codec:
         """Tokens of one pre-token, which stands at the end of a word of this vocabulary."""
         if len(text) <= self.leaf:
             return self._tokens(text, True)
+        assert self.alone  # built before threads ask for it
         with ThreadPoolExecutor(2**LEVELS) as pool:  # no more halves than that ever wait for others
             return self._tree(text, True, 0, pool)
 
@@ -245,11 +255,10 @@ def _batches(batches: Iterator[pa.RecordBatch], keep: list[str], path: str, full
             at += len(group)
     # workers live on for other operators' tasks; the words would stay in their memory
     c.known, c.pieces = {}, {}
-    pa.default_memory_pool().release_unused()
 
 
 def encode_documents(docs: DataFrame, keep: list[str], path: str, full: bool = False) -> DataFrame:
     """The columns `keep` of docs with OUT, and with `ids` if full. path: the tokenizer's file, at the same place on all machines."""
     keep = [c for c in keep if c not in [*OUT, "ids"]]
     fields = [docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.StringType()) for c in OUT[1:]]] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * full
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda b: _batches(b, keep, path, full), T.StructType(fields))
+    return docs.select(*dict.fromkeys([*keep, "text"])).transform(map_batches, lambda b: _batches(b, keep, path, full), T.StructType(fields))

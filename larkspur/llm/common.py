@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
 import re
 import tempfile
 import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,36 @@ def tidy(spark: SparkSession) -> None:
     _tidied[0] = time.monotonic()
 
 
+#: About so many bytes go to a Python worker at once (at least one row). The JVM holds a batch outside its heap, the worker the same and what it
+#: makes of it; Spark's own bound of 64 MB makes that some hundred MB an executor.
+BATCH_BYTES = 4 << 20
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: malloc's fixed size from which arrays are mapped on their own, so that they go back at once; by itself it grows up to 32 MB.
+MAPPED_BYTES = 1 << 20
+_M_MMAP_THRESHOLD = -3
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind) -> DataFrame:
+    """mapInArrow for the pipeline's operators: batches have BATCH_BYTES, if the session sets no bound of its own, and a worker gives its free memory back when its
+    task is done, as it lives on beside later tasks of the JVM."""
+    session = df.sparkSession
+    if not session._jsparkSession.sessionState().conf().contains(BATCH_BYTES_KEY):
+        session.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(lambda batches: _given_back(work, batches), kind)
+
+
+def _given_back(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(_M_MMAP_THRESHOLD, MAPPED_BYTES)
+    try:
+        yield from work(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle whose rows were cut by hand."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import among, materialize, spread, text_key, tidy, without
+from larkspur.llm.common import among, map_batches, materialize, spread, text_key, tidy, without
 from larkspur.llm.shingles import all_shingles, least_difference, parity, parity_words, shingles
 
 THRESHOLD = 80
@@ -72,15 +72,8 @@ def _places(x: np.ndarray) -> np.ndarray:
 def _sketch(batches: Batches) -> Batches:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
-        found, held = [], 0
         for t in batch.column("text").to_pylist():
-            found.append(_places(all_shingles(t)))
-            held += len(found[-1])
-            if held > 1_000_000:
-                counts += np.bincount(np.concatenate(found), minlength=len(counts)).astype(np.uint32)
-                found, held = [], 0
-        if found:
-            counts += np.bincount(np.concatenate(found), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, _places(all_shingles(t)), np.uint32(1))  # in place: no array of all counters beside it
     if counts.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
@@ -103,7 +96,7 @@ def _sum_slices(batches: Batches) -> Batches:
 def rarity_levels(docs: DataFrame) -> np.ndarray:
     """A byte for each counter: 0 for counters near the mean, more for those that some frequent shingle fills."""
     kind = "slice int, counts binary"
-    summed = docs.select("text").mapInArrow(_sketch, kind).repartition(SLICES, "slice").mapInArrow(_sum_slices, kind)
+    summed = docs.select("text").transform(map_batches, _sketch, kind).repartition(SLICES, "slice").transform(map_batches, _sum_slices, kind)
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
     for r in summed.collect():  # SLICES rows, of 32 MB at most before compression
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
@@ -240,7 +233,7 @@ MARKS_KIND = "slice int, marks binary"
 def _marks(ids: DataFrame) -> np.ndarray:
     """A bitmap of MARK_BITS over the ids in column `rep`, united over all tasks; an id that was given has its bit, whatever their number."""
     places = ids.select(_place(F.col("rep")).alias("place"))
-    parts = places.mapInArrow(_mark_bits, MARKS_KIND).repartition(SLICES, "slice").mapInArrow(_unite_slices, MARKS_KIND)
+    parts = places.transform(map_batches, _mark_bits, MARKS_KIND).repartition(SLICES, "slice").transform(map_batches, _unite_slices, MARKS_KIND)
     marks = np.zeros((SLICES, MARK_BITS // 8 // SLICES), np.uint8)
     for r in parts.collect():  # SLICES rows, of 8 MB at most before compression
         marks[r["slice"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
@@ -250,7 +243,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
 def _read(docs: DataFrame, ids: DataFrame, work, kind: str) -> DataFrame:
     """What `work` makes of the texts whose ids stand in `ids`; a few other texts may be among them."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
-    return docs.select(_place(F.col("doc_id")).alias("place"), "text").mapInArrow(lambda b: work(b, marks), kind)
+    return docs.select(_place(F.col("doc_id")).alias("place"), "text").transform(map_batches, lambda b: work(b, marks), kind)
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -397,7 +390,7 @@ def _promising(batches: Batches, threshold: int) -> Batches:
 
 def _promising_pairs(classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _promising(b, threshold), "a long, b long"))
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").transform(map_batches, lambda b: _promising(b, threshold), "a long, b long"))
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
@@ -472,8 +465,8 @@ def _several(prefixes: DataFrame, marks, bits: int) -> np.ndarray:
     """A bitmap over shingles with the bits of all that stand in two prefixes or more."""
     parts = spread(prefixes)
     width = -(-bits // (8 * parts)) * 8
-    short = prefixes.mapInArrow(lambda b: _short_tokens(b, marks, bits, width), "part int, short binary")
-    pieces = short.repartition(parts, "part").mapInArrow(lambda b: _twice(b, width), MARKS_KIND)
+    short = prefixes.transform(map_batches, lambda b: _short_tokens(b, marks, bits, width), "part int, short binary")
+    pieces = short.repartition(parts, "part").transform(map_batches, lambda b: _twice(b, width), MARKS_KIND)
     several = np.zeros((parts, width // 8), np.uint8)
     for r in pieces.collect():  # SHARED_BITS in all, before compression
         several[r["slice"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
@@ -503,21 +496,21 @@ def _lists(held: DataFrame, classes: DataFrame) -> DataFrame:
     bits = min(max(1 << (shingles_ // 20).bit_length(), SHARED_BITS[0]), SHARED_BITS[1])
     several = sc.broadcast(_several(prefixes, marks, bits))
     # other rows of a group may have passed by chance or by their id
-    rows = prefixes.mapInArrow(lambda b: _shared(b, marks, several, bits), "token long, n int, grp long, pos int, p1 long, p2 long").distinct()
+    rows = prefixes.transform(map_batches, lambda b: _shared(b, marks, several, bits), "token long, n int, grp long, pos int, p1 long, p2 long").distinct()
     rows = rows.join(groups, ["grp", "n"]).select(*ROW, *PAST)
     order = ["token", "p1", "n", "g"]
     in_order = rows.repartitionByRange(spread(held), *order).sortWithinPartitions(*order)
-    return materialize(in_order.mapInArrow(_in_company, f"{ROW_KIND}, p1 long, p2 long, many boolean"))
+    return materialize(in_order.transform(map_batches, _in_company, f"{ROW_KIND}, p1 long, p2 long, many boolean"))
 
 
 def _first_pairs(lists: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     kind = "a long, b long"
-    chain = lists.select(*ROW).mapInArrow(lambda b: _neighbours(b, threshold), kind)
+    chain = lists.select(*ROW).transform(map_batches, lambda b: _neighbours(b, threshold), kind)
     # a list's centre is the group that stands in most lists: the original of a group of near copies shares the most with each
     long_ = lists.where("many").select(*ROW)
     ranked = long_.join(long_.groupBy("g").agg(F.count("*").alias("degree")), "g")
     ranked = ranked.repartitionByRange(spread(lists), "token", F.desc("degree"), "g").sortWithinPartitions("token", F.desc("degree"), "g")
-    star = ranked.select(*ROW).mapInArrow(lambda b: _to_centre(b, threshold), kind)
+    star = ranked.select(*ROW).transform(map_batches, lambda b: _to_centre(b, threshold), kind)
     in_group = Window.partitionBy("grp", "n").orderBy("v")
     inner = classes.select("v", F.lag("v").over(in_group).alias("b")).where("b is not null").select(F.col("b").alias("a"), F.col("v").alias("b"))
     return chain.union(star).union(inner).distinct()
@@ -557,7 +550,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     read = docs.select("doc_id", text_key().alias("text_key"), "text")
     levels = sc.broadcast(rarity_levels(docs))
     words = ", ".join(f"{q} long" for q in PARITY)
-    signed = read.mapInArrow(lambda b: _sign(b, levels, threshold), f"doc_id long, text_key long, n int, cls binary, grp long, bits binary, {words}, prefix array<long>")
+    signed = read.transform(map_batches, lambda b: _sign(b, levels, threshold), f"doc_id long, text_key long, n int, cls binary, grp long, bits binary, {words}, prefix array<long>")
     signed = materialize(signed)
     held = signed.where("n > 0")
     classes = _numbered(held.groupBy("cls", "grp", "n", "bits", *PARITY).agg(F.min("doc_id").alias("rep")))

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from larkspur.llm.common import map_batches
+
 KINDS = ["email", "ip", "card", "phone", "url", "account"]
 BASE = KINDS[:4]
 #: The base kinds as plain patterns, before their checks. Tests hold the parsers against them.
@@ -181,10 +183,10 @@ def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in OUT]
     fields = [docs.schema[c] for c in keep] + [T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(c, T.StringType()) for c in OUT[4:]]
     read = docs.select(*dict.fromkeys([*keep, "text"]))
-    return read.mapInArrow(lambda batches: _batches(batches, keep, False), T.StructType(fields))
+    return read.transform(map_batches, lambda batches: _batches(batches, keep, False), T.StructType(fields))
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with all personal data in `text` replaced, and n_chars, if there, counted anew for changed texts."""
     keep = docs.columns
-    return docs.mapInArrow(lambda batches: _batches(batches, keep, True), docs.schema)
+    return docs.transform(map_batches, lambda batches: _batches(batches, keep, True), docs.schema)

@@ -203,6 +203,32 @@ def test_bpe_long_unsplit(spark, tmp_path):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op6_bpe(spark, str(tmp_path)).collect()} == want
 
 
+def test_bounded_batches(spark, tmp_path, monkeypatch):
+    """The pipeline's workers get some MB of text at once, however long texts are; a batch stands in the JVM and in the worker."""
+    log = str(tmp_path / "sizes")
+
+    def noting(work):
+        def noted(batches, *args):
+            def each():
+                for b in batches:
+                    with open(log, "a") as f:
+                        f.write(f"{b.num_rows} {b.nbytes}\n")
+                    yield b
+
+            return work(each(), *args)
+
+        return noted
+
+    for module, name in ((bpe, "_batches"), (pii, "_batches"), (jaccard, "_sketch"), (jaccard, "_sign")):
+        monkeypatch.setattr(module, name, noting(getattr(module, name)))
+    table = spark.range(240).repartition(1).select(F.col("id").alias("doc_id"), F.concat("id", F.lit(" "), F.repeat(F.lit("the of and in was "), 3000)).alias("text")).localCheckpoint()
+    for run in (lambda: bpe.encode_documents(table, ["doc_id"], vocabulary("word_bpe_49k.json")), lambda: pii.redact_pii(table), lambda: jaccard.link_components(table)):
+        open(log, "w").close()
+        assert len({r["doc_id"] for r in run().collect()}) == 240
+        sizes = [tuple(map(int, x.split())) for x in open(log)]
+        assert sum(n for n, _ in sizes) % 240 == 0 and sizes and max(size for _, size in sizes) < 6 << 20
+
+
 def test_token_counts(docs, none):
     path = vocabulary("byte_bpe_50k.tiktoken")
     c = tokencount.counter(path)
