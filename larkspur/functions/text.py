@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 TOKEN = r"[a-z0-9]+(?:[./][a-z0-9]+)*"
-SIZE = r"\b(\d+(?:\.\d+)?)\s*(tb|gb|mb|kb|kib|mib|gib|tib|ns|µs|us|ms)\b"
+#: The edges of words of ASCII letters, digits and _, as SQL's \b has them: Java's takes letters such as é for part of a word.
+WORD = "[0-9A-Za-z_]"
+BEGIN, END = f"(?-iu:(?<!{WORD})(?={WORD}))", f"(?-iu:(?<={WORD})(?!{WORD}))"
+EDGE = f"(?:{BEGIN}|{END})"
+SIZE = rf"{BEGIN}(\d+(?:\.\d+)?)\s*(tb|gb|mb|kb|kib|mib|gib|tib|ns|µs|us|ms){END}"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z(\[])"
 PAGE_NUMBER = r"(?i)^\s*(\d+\s*/\s*\d+|\d+|Page\s+\d+(\s+of\s+\d+)?)\s*$"
 CAPTION = r"^(Table|Figure|Fig\.)\s*\d+\s*[:.]?\s+[A-Z]"
@@ -21,7 +25,7 @@ NUMBER_PREFIX = r"^(\d+(?:\.\d+)*\.?|[IVXLC]+\.|[A-Z]\.|§\s*\d+(?:\.\d+)*)\s*"
 MATH_FONT = r"(?i)math|cmmi|cmsy|cmex|cmbsy|msam|msbm|stix|asana|lm[a-z]{2}\d|xits"
 CID = r"\(cid:\d+\)"
 MISENCODED = r"\d\s*[\x{1D400}-\x{1D7FF}]{1,4}"
-BROKEN = r"(?i)\b\d+(?:\s+\.\s*\d+|\.\s+\d+)\s*(?:ns|µs|us|ms|GB/s|MB/s|TiB|GiB|MiB|KiB|TB|GB|MB|KB|%)\b"
+BROKEN = rf"(?iu){BEGIN}\d+(?:\s+\.\s*\d+|\.\s+\d+)\s*(?:ns|µs|us|ms|GB/s|MB/s|TiB|GiB|MiB|KiB|TB|GB|MB|KB|%){EDGE}"
 
 
 def extract_all(c: Column, pattern: str, group: int = 0) -> Column:

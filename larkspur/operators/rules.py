@@ -38,13 +38,13 @@ def page_flags(pages: DataFrame) -> DataFrame:
     """cid_garble, low_alnum_ratio, broken_measurement and misencoded_unit over (doc, page, text): one scan for all four."""
     t = F.col("text")
     dense = F.length(F.regexp_replace(t, r"\s", ""))
-    ratio = T.alnum_ratio(t)
+    ratio = T.alnum_ratio(t)  # rounded as a number times 100, as SQL does: 0.145, of which that is 14.499..., gives 0.14
     entry = lambda name, severity, detail: F.struct(F.lit(name).alias("check_name"), detail.cast("string").alias("detail"), F.lit(severity).alias("severity"))
     none = F.lit(None).cast("struct<check_name:string,detail:string,severity:string>")
     cids = F.regexp_count(t, F.lit(T.CID))
     single = F.array(
         F.when(cids > 0, entry("cid_garble", "blocker", cids)).otherwise(none),
-        F.when((dense >= MIN_DENSE) & (ratio < MIN_ALNUM), entry("low_alnum_ratio", "blocker", F.round(ratio, 2))).otherwise(none),
+        F.when((dense >= MIN_DENSE) & (ratio < MIN_ALNUM), entry("low_alnum_ratio", "blocker", F.round(ratio * 100) / 100)).otherwise(none),
     )
 
     def each(name: str, severity: str, pattern: str, before: int, after: int) -> Column:
