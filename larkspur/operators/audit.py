@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import compose_query, normalize_span
+from larkspur.functions.text import END, compose_query, normalize_span
 from larkspur.functions.units import numbers_in, quantities_match
 from larkspur.operators.chunking import split_passages
 from larkspur.operators.providers import Completer, complete_once, parse_reply
@@ -50,7 +50,7 @@ def numeric_prescreen(pairs: DataFrame) -> DataFrame:
 
 
 #: Fixed value: a digit and what may have been a unit before a font lost it.
-SUSPECT = r"\d\s*(?:[\x{1D400}-\x{1D7FF}]{1,4}|[A-Z]{2,4}\b)"
+SUSPECT = rf"\d\s*(?:[\x{{1D400}}-\x{{1D7FF}}]{{1,4}}|[A-Z]{{2,4}}{END})"
 
 
 def suspect_sites(pairs: DataFrame, most: int = 5) -> DataFrame:
