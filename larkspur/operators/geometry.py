@@ -1,16 +1,21 @@
 """Tables and formulas from positioned words and spans.
 
-Each is an ordered fold over one table or one page, which Spark's operators cannot say; groups are that small by nature, so a task never
-holds more than one page. What belongs to which table is a join with page and box in Spark.
+Each is an ordered fold over one table or one page, which Spark's operators cannot say. Tables are folded as arrays, in time that grows with
+their words; pages come in batches of many, as a frame of its own for each small page costs far more than its fold. What belongs to which table is a
+join with page and box in Spark.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,25 +70,36 @@ def mend(column: list[str]) -> list[str]:
 def table_rows(words: pd.DataFrame) -> list[list[str]]:
     """The cells by rows; none without two columns and two rows. Rows begin where the first column has a line other than a bare
     number in brackets; they part halfway between such lines."""
-    w = words.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-    inner = inner_bounds(w["x0"].to_numpy(), w["x1"].to_numpy())
+    x0, y0, x1, text = (words[c].to_numpy() for c in ("x0", "y0", "x1", "text"))
+    order = np.lexsort((x0, y0))
+    x0, y0, x1, text = x0[order], y0[order], x1[order], text[order]
+    inner = inner_bounds(x0, x1)
     if not len(inner):
         return []
-    w["col"] = np.searchsorted(inner, (w["x0"] + w["x1"]) / 2, side="right")
-    w["line"] = (w["y0"].diff().abs() > LINE_JUMP).cumsum()
-    w["line_y"] = w.groupby("line")["y0"].transform("first")
-    anchors = [(g["y0"].min(), hyphen_join(g.sort_values("x0", kind="stable")["text"]).strip()) for _, g in w[w["col"] == 0].groupby("line")]
-    tops = [y for y, text in anchors if not re.match(T.FRAGMENT, text)]
+    col = np.searchsorted(inner, (x0 + x1) / 2, side="right")
+    jumps = np.diff(y0) > LINE_JUMP
+    line = np.concatenate([[0], jumps.cumsum()])
+    line_y = y0[np.concatenate([[0], np.flatnonzero(jumps) + 1])][line]
+    first = np.flatnonzero(col == 0)
+    anchors = [(y0[own].min(), hyphen_join(text[own[np.argsort(x0[own], kind="stable")]]).strip()) for own in _runs(first, line[first])]
+    tops = [y for y, t in anchors if not re.match(T.FRAGMENT, t)]
     if len(tops) < 2:
         tops = sorted({y for y, _ in anchors})
     if len(tops) < 2:
         return []
-    w["row"] = np.searchsorted((np.array(tops[1:]) + np.array(tops[:-1])) / 2, w["line_y"], side="right")
-    held = w.groupby(["row", "col"])["text"].agg(hyphen_join)
-    columns = [mend([held.get((r, c), "") for r in range(len(tops))]) for c in range(len(inner) + 1)]
+    row = np.searchsorted((np.array(tops[1:]) + np.array(tops[:-1])) / 2, line_y, side="right")
+    cell = row * (len(inner) + 1) + col
+    by_cell = np.argsort(cell, kind="stable")
+    held = {cell[own[0]]: hyphen_join(text[own]) for own in _runs(by_cell, cell[by_cell])}
+    columns = [mend([held.get(r * (len(inner) + 1) + c, "") for r in range(len(tops))]) for c in range(len(inner) + 1)]
     return [list(row) for row in zip(*columns, strict=True)]
 
 
+def _runs(places: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """The places, cut where the key changes."""
+    return np.split(places, np.flatnonzero(np.diff(keys)) + 1) if len(places) else []
+
+
 def reconstruct_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
     """doc, page, table_id and rows (array of arrays of cells) for each table that has two columns and rows."""
 
@@ -118,20 +134,32 @@ def components(boxes: np.ndarray, close: float = CLOSE) -> np.ndarray:
     return np.array([root(i) for i in range(len(boxes))])
 
 
-def render(spans: pd.DataFrame) -> str:
+class Span(NamedTuple):
+    """A span of a page; drawings are spans without size and text."""
+
+    ord: int
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    size: float | None
+    text: str | None
+
+
+def render(spans: Sequence[Span]) -> str:
     """Left to right; smaller spans off the middle line of the common size get a mark for below or above."""
-    if spans.empty:
+    if not spans:
         return ""
-    s = spans.sort_values("x0", kind="stable")
-    base = Counter(round(x, 1) for x in s["size"]).most_common(1)[0][0]
-    middle = (s["y0"] + s["y1"]) / 2
-    line = middle[(s["size"] - base).abs() < SAME_SIZE].mean()
+    s = sorted(spans, key=lambda x: x.x0)
+    base = Counter(round(x.size, 1) for x in s).most_common(1)[0][0]
+    common = [(x.y0 + x.y1) / 2 for x in s if abs(x.size - base) < SAME_SIZE]
+    line = sum(common) / len(common)
     out = ""
-    for text, size, at in zip(s["text"], s["size"], middle, strict=True):
-        mark = ""
-        if size < SMALL * base and abs(at - line) > RAISED:
+    for x in s:
+        mark, at = "", (x.y0 + x.y1) / 2
+        if x.size < SMALL * base and abs(at - line) > RAISED:
             mark = "_" if at > line else "^"
-        out += ("" if not out or mark or out.endswith("-") else " ") + mark + text.translate(_MATH)
+        out += ("" if not out or mark or out.endswith("-") else " ") + mark + x.text.translate(_MATH)
     return out.strip()
 
 
@@ -141,40 +169,70 @@ def tidy(text: str) -> str:
     return text.strip()
 
 
-def formula(spans: pd.DataFrame, bars: pd.DataFrame) -> str | None:
-    """The text of one group of spans, or none where it is no formula. bars: filled drawings (box) in their order."""
-    x0, y0, x1, y1 = spans["x0"].min(), spans["y0"].min(), spans["x1"].max(), spans["y1"].max()
+def formula(spans: Sequence[Span], bars: Sequence[Span]) -> str | None:
+    """The text of one group of spans, or none where it is no formula. bars: filled drawings in their order."""
+    x0, y0, x1, y1 = outline(spans)
     if y1 - y0 > TALLEST or len(spans) > MOST_SPANS:
         return None
-    thin = bars[(bars["x1"] - bars["x0"] > BAR_WIDTH) & (bars["y1"] - bars["y0"] < BAR_HEIGHT)]
-    across = thin[(thin["x0"] < x1) & (thin["x1"] > x0) & (thin["y0"] < y1) & (thin["y1"] > y0)]
-    if across.empty:
-        if len(spans) < 2 or not any(c in OPERATORS for c in "".join(spans["text"])):
+    thin = (b for b in bars if b.x1 - b.x0 > BAR_WIDTH and b.y1 - b.y0 < BAR_HEIGHT)
+    bar = next((b for b in thin if b.x0 < x1 and b.x1 > x0 and b.y0 < y1 and b.y1 > y0), None)
+    if bar is None:
+        if len(spans) < 2 or not any(c in OPERATORS for x in spans for c in x.text):
             return None
         out = tidy(render(spans))
     else:
-        bar = across.iloc[0]
-        beside = (spans["x1"] > bar["x0"] - BAR_REACH) & (spans["x0"] < bar["x1"] + BAR_REACH)
-        over = (spans["y0"] + spans["y1"]) / 2 < (bar["y0"] + bar["y1"]) / 2
-        above, below, rest = render(spans[beside & over]), render(spans[beside & ~over]), render(spans[~beside])
+        beside = lambda x: x.x1 > bar.x0 - BAR_REACH and x.x0 < bar.x1 + BAR_REACH
+        over = lambda x: (x.y0 + x.y1) / 2 < (bar.y0 + bar.y1) / 2
+        above, below = (render([x for x in spans if beside(x) and over(x) == up]) for up in (True, False))
+        rest = render([x for x in spans if not beside(x)])
         fraction = f"{above} / ({below})" if above or below else ""
         out = tidy(f"{rest} {fraction}")
     return out if any(c.isalnum() for c in out) else None
 
 
+def outline(spans: Sequence[Span]) -> tuple[float, float, float, float]:
+    return min(x.x0 for x in spans), min(x.y0 for x in spans), max(x.x1 for x in spans), max(x.y1 for x in spans)
+
+
+def formulas(spans: Sequence[Span], bars: Sequence[Span]) -> Iterator[tuple]:
+    """Box and text of the formulas of one page, both sides in order of `ord`."""
+    if not spans:
+        return
+    of = components(np.array([x[1:5] for x in spans], dtype=float))
+    for _, own in groupby(sorted(range(len(spans)), key=of.__getitem__), key=of.__getitem__):
+        group = [spans[i] for i in own]
+        if (text := formula(group, bars)) is not None:
+            yield *outline(group), text
+
+
+def _spans(column: pa.ListArray) -> list[list[Span]]:
+    """The spans of each row of a column of arrays."""
+    flat = column.flatten()
+    each = [Span(*x) for x in zip(*[flat.field(i).to_pylist() for i in range(len(Span._fields))], strict=True)]
+    ends = np.concatenate([[0], np.diff(column.offsets.to_numpy()).cumsum()])
+    return [each[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+FORMULAS = "doc string, page long, x0 double, y0 double, x1 double, y1 double, text string"
+
+
 def reconstruct_formulas(spans: DataFrame, bars: DataFrame) -> DataFrame:
     """doc, page, box and text of the formulas among math spans (doc, page, ord, box, size, text); bars: filled drawings
-    (doc, page, ord, box)."""
-    names = ["doc", "page", "x0", "y0", "x1", "y1", "text"]
-
-    def fold(key, own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(own):
-            own, drawn = own.sort_values("ord", kind="stable"), drawn.sort_values("ord", kind="stable")
-            for _, g in own.groupby(components(own[names[2:6]].to_numpy())):
-                if (text := formula(g, drawn)) is not None:
-                    found.append((*key, g["x0"].min(), g["y0"].min(), g["x1"].max(), g["y1"].max(), text))
-        return pd.DataFrame(found, columns=names)
-
-    by = lambda df, *more: df.select("doc", "page", "ord", *names[2:6], *more).groupBy("doc", "page")
-    return by(spans, "size", "text").cogroup(by(bars)).applyInPandas(fold, "doc string, page long, x0 double, y0 double, x1 double, y1 double, text string")
+    (doc, page, ord, box). One shuffle brings a page's spans and drawings to one row."""
+
+    def fold(batches):
+        for batch in batches:
+            doc, page = batch.column("doc").to_pylist(), batch.column("page").to_pylist()
+            found = [(d, p, *f) for d, p, own, drawn in zip(doc, page, _spans(batch.column("own")), _spans(batch.column("drawn")), strict=True) for f in formulas(own, drawn)]
+            columns = list(zip(*found, strict=True)) or [()] * 7
+            kinds = [pa.string(), pa.int64(), *[pa.float64()] * 4, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "page", "x0", "y0", "x1", "y1", "text"])
+
+    box = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    part = lambda df, size, text, drawn: df.select("doc", F.col("page").cast("long").alias("page"), F.struct(F.col("ord").cast("long").alias("ord"), *box, size.cast("double").alias("size"), text.alias("text")).alias("s"), F.lit(drawn).alias("is_drawn"))
+    both = part(spans, F.col("size"), F.col("text"), False).union(part(bars, F.lit(None), F.lit(None).cast("string"), True))
+    # so many partitions, whatever their bytes: pages are small, but their folds take time
+    dealt = both.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "page")
+    held = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("s"))))
+    pages = dealt.groupBy("doc", "page").agg(held(~F.col("is_drawn")).alias("own"), held(F.col("is_drawn")).alias("drawn"))
+    return pages.mapInArrow(fold, FORMULAS)

@@ -21,6 +21,26 @@ def test_table_rows():
     assert geometry.mend(["(a", "b) c", "x-", "y z"]) == ["(a b)", "c", "xy", "z"]
 
 
+def test_large_table_in_linear_time():
+    import time
+
+    n, began = 60_000, time.process_time()
+    words = pd.DataFrame({"x0": [10.0, 200.0] * n, "y0": np.repeat(np.arange(n) * 12.0, 2), "text": [f"t{i}" for i in range(2 * n)]})
+    rows = geometry.table_rows(words.assign(x1=words["x0"] + 20, y1=words["y0"] + 10))
+    assert rows == [[f"t{2 * i}", f"t{2 * i + 1}"] for i in range(n)]
+    assert time.process_time() - began < 12
+
+
+def test_formulas_of_many_pages(spark):
+    """Pages are folded in batches, not one frame each; a page of drawings alone has none."""
+    spans = [("d", p, o, x, 100.0, x + 6, 110.0, 10.0, t) for p in range(3000) for o, (x, t) in enumerate([(10.0, "a"), (20.0, "+"), (30.0, f"b{p}")])]
+    bars = [("d", p, 0, 8.0, 300.0, 45.0, 301.0) for p in (1, 5000)]
+    box = "doc string, page long, ord int, x0 double, y0 double, x1 double, y1 double"
+    out = geometry.reconstruct_formulas(spark.createDataFrame(spans, box + ", size double, text string"), spark.createDataFrame(bars, box))
+    assert sorted((r["page"], r["text"]) for r in out.collect()) == [(p, f"a + b{p}") for p in range(3000)]
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_against_all_pairs():
     rng = random.Random(7)
     for n in (1, 2, 30, 80):
