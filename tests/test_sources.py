@@ -103,3 +103,26 @@ def test_readers(spark, tmp_path):
     assert S.text_blocks(blocks).count() == 2 and S.text_blocks(blocks, ["d"]).count() == 1
     S.write_report(blocks, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def _chunks(spark):
+    words = "the of kiln glaze ash 2 mb cone firing raku slip clay".split()
+    rows = [(i, f"d{i % 5}" if i % 11 else None, i % 3 if i % 13 else None, " ".join(words[(i * j + j) % 12] for j in range(i % 9))) for i in range(200)]
+    return spark.createDataFrame(rows, "chunk_id long, doc string, tier int, text string").repartition(3)
+
+
+def test_postings_in_runs(spark, monkeypatch):
+    """Postings are those of the chunks, unshuffled: each run is in order of the token."""
+    import pyarrow as pa
+
+    from larkspur.sources import index as I
+
+    index = I.index_of(_chunks(spark), "postings in runs")
+    each = lambda df: sorted(df.select("token", "chunk_id", "doc", "tier", "dl").collect(), key=str)
+    from pyspark.sql import functions as F
+
+    assert each(index.postings) == each(index.cut.select("*", F.explode("tokens").alias("token")))
+    monkeypatch.setattr(I, "RUN", 4)
+    batch = lambda *t: pa.RecordBatch.from_pydict({"chunk_id": list(range(len(t))), "tokens": list(t)})
+    runs = [r.to_pydict() for r in I.sorted_runs([batch(["b", "a"], ["a"]), batch(["c"]), batch(["z", "a"])])]
+    assert runs == [{"token": ["a", "a", "b", "c"], "chunk_id": [0, 1, 0, 0]}, {"token": ["a", "z"], "chunk_id": [0, 0]}]
